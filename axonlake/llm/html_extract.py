@@ -10,6 +10,7 @@ role says advert, sidebar, comments and the like) count as one tag each and give
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections import Counter
 
@@ -152,14 +153,10 @@ def count_kinds(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def learn_weights(pages: DataFrame, html_col: str = "html", limit: float = 3.0) -> dict[str, float]:
     """Weight by kind. Words: log-odds of inside against outside, clipped to limit. Tags: below zero, more so the more they stand outside."""
-    import math
-
     got = {r["kind"]: (r["inside"], r["outside"]) for r in count_kinds(pages, html_col).collect()}
-    words = [v for k, v in got.items() if k.startswith("word") and not k.endswith("unmarked")]
-    total_in, total_out = sum(v[0] for v in words) + 1, sum(v[1] for v in words) + 1
     out = {}
     for kind, (inside, outside) in got.items():
-        odds = math.log((inside + 1) / (outside + 1)) - (math.log(total_in / total_out) if not kind.startswith("word") else 0)
+        odds = math.log((inside + 1) / (outside + 1))
         out[kind] = max(-limit, min(limit, odds)) if kind.startswith("word") else -0.1 - max(0.0, min(1.0, -odds))
     return out
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_ngram_hashes, crc_mod, drop_staged, read_table, stage_table
 
-ORDERS, STRETCH = (4, 5, 6), 1 << 20
+ORDERS, STRETCH = (5, 6, 7), 1 << 20
 
 
 @dataclass
@@ -40,7 +40,7 @@ def count_ngrams(labelled: DataFrame, bits: int) -> DataFrame:
     """(bucket, toxic, clean): texts of each class with an n-gram of the bucket, from columns text and toxic; bucket -1 counts the texts."""
 
     def run(batches):
-        n = np.zeros((2, 1 << bits), np.int64)
+        n = np.zeros((2, 1 << bits), np.int32)
         rows = [0, 0]
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist()):
@@ -49,13 +49,13 @@ def count_ngrams(labelled: DataFrame, bits: int) -> DataFrame:
         at = np.flatnonzero(n.any(axis=0)).astype(np.int32)
         for lo in range(0, len(at), 50_000):
             part = at[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[1][part]), pa.array(n[0][part])], ["bucket", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[1][part], pa.int64()), pa.array(n[0][part], pa.int64())], ["bucket", "toxic", "clean"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows[1]], pa.int64()), pa.array([rows[0]], pa.int64())], ["bucket", "toxic", "clean"])
 
     return labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """AdaGrad over sparse rows of present buckets with value r[bucket]; returns w and bias."""
     w, square, bias = np.zeros(len(r), np.float64), np.full(len(r), 1e-6), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     bias_square, rng = 1e-6, np.random.RandomState(seed)
@@ -72,15 +72,16 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: i
     return w, bias
 
 
-def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_texts: int = 5, least_ratio: float = 1.0, fit_rows: int = 8000) -> ToxicityModel:
+def train_toxicity_model(labelled: DataFrame, bits: int = 21, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 2.0, fit_rows: int = 8000) -> ToxicityModel:
     """Fit on columns (id, text, toxic 0/1). Ratios count every row; the regression uses at most about fit_rows rows, drawn by a hash of
-    the id (the documented bound of the fit). N-grams in fewer than least_texts texts, or with a ratio below least_ratio in size,
-    weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
-    counts = count_ngrams(labelled, bits)
-    got = counts.filter((F.col("toxic") + F.col("clean") >= least_texts) | (F.col("bucket") < 0)).toPandas()  # at most 2**bits rows
-    total = got[got.bucket < 0]
-    toxic, clean = int(total.toxic.sum()), int(total.clean.sum())
-    got = got[got.bucket >= 0]
+    the id (the documented bound of the fit). N-grams in fewer than least_texts texts or a smaller share than least_share of the
+    texts, or with a ratio below least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
+    counts = stage_table(count_ngrams(labelled, bits), "toxicity-counts")
+    total = counts.filter("bucket < 0").first()
+    toxic, clean = (total["toxic"], total["clean"]) if total else (0, 0)
+    least = max(least_texts, least_share * (toxic + clean))
+    got = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= least)).toPandas()  # at most 2**bits rows, in fact few
+    drop_staged(counts)
     if not toxic or not clean:
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log((toxic + 1) / (clean + 1))), bits)
     r = np.zeros(1 << bits, np.float64)
