@@ -29,6 +29,8 @@ from .components import connected_components
 
 BLOCKS, AGREE = 8, 4
 GRIDS = list(combinations(range(BLOCKS), AGREE))
+#: By the set of blocks on which a pair agrees: the first grid made of four of them (that of the four lowest), or -1.
+FIRST_GRID = [GRIDS.index(tuple(on[:AGREE])) if len(on := [b for b in range(BLOCKS) if mask >> b & 1]) >= AGREE else -1 for mask in range(1 << BLOCKS)]
 EVEN_BITS = 0x5555555555555555
 
 
@@ -87,17 +89,11 @@ def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256) ->
     small, large = dealt.filter(F.col("n") <= cell_limit), dealt.filter(F.col("n") > cell_limit)
     a, b = small.alias("a"), small.alias("b")
     apart = F.col("a.point").bitwiseXOR(F.col("b.point"))
-    equal = [(F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(255)) == 0) for k in range(BLOCKS)]
-    agreed = reduce(Column.bitwiseOR, (F.when(e, F.lit(1 << k)).otherwise(F.lit(0)) for k, e in enumerate(equal)))
-    # the first grid, in lexicographic order, whose four blocks agree, is that of the four lowest agreeing blocks
-    lowest, taken = agreed, F.lit(0)
-    for _ in range(AGREE):
-        bit = lowest.bitwiseAND(-lowest)
-        taken, lowest = taken.bitwiseOR(bit), lowest.bitwiseXOR(bit)
-    grid_bits = F.element_at(F.array(*(F.lit(sum(1 << k for k in g)) for g in GRIDS)), F.col("a.grid") + 1)
+    agreed = reduce(Column.bitwiseOR, (F.when(F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(255)) == 0, 1 << k).otherwise(0) for k in range(BLOCKS)))
+    first = F.element_at(F.array(*map(F.lit, FIRST_GRID)), agreed + 1)  # a pair is listed in the first grid it shares
     near = (F.bit_count(apart) <= max_distance) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance)
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, same & near & (taken == grid_bits))
+    pairs = a.join(b, same & near & (first == F.col("a.grid")))
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if large.isEmpty():
         return pairs
