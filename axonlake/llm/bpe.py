@@ -214,7 +214,7 @@ class _Cache(dict):
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, vocab: Vocabulary, cache: int = 200_000):
+    def __init__(self, vocab: Vocabulary, cache: int = 300_000):
         self.v, self.pairs = vocab, PairEncoder(vocab)
         self.find = regex.compile(PIECES).findall
         self.pieces = _Cache(self._piece, cache // 2)

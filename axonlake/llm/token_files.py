@@ -14,6 +14,7 @@ eight bytes, ones before each block u32 each.
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -154,13 +155,13 @@ class LibraryEncoder(Encoder):
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        super().__init__(Vocabulary(source))
+        super().__init__(Vocabulary(source), cache=400_000)
         self.model = Tokenizer.from_str(source).model
         self.chars = {b: c for c, b in _byte_chars().items()}
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
