@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import read_table
 
@@ -113,7 +114,7 @@ def find_contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8,
     sc = docs.sparkSession.sparkContext
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, n_shared long, n_item long"
-    arrow = pa.int64() if item_kind == "bigint" else None
+    arrow = to_arrow_type(items.schema[item_col].dataType)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def scan(block):

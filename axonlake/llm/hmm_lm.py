@@ -251,7 +251,7 @@ def score_texts(docs: DataFrame, learn: Column, cfg: Settings = Settings(), id_c
                 words = tokens_of(t.as_py())
                 codes = np.fromiter(map(code_of, words), np.int32, len(words))
                 rare = np.flatnonzero(codes < 0)
-                sym = np.where(codes >= 0, x.symbol[codes], x.symbols - 1 - codes).astype("<u4")
+                sym = np.where(codes >= 0, x.symbol[np.maximum(codes, 0)], x.symbols - 1 - codes).astype("<u4")
                 table = codes[codes >= 0]
                 few = Counter([words[i] for i in rare])
                 for o, value in zip(out, (len(words), int(known[table].sum()), float(x.base[table].sum()), float(x.inside[table].sum()), sym.tobytes(), list(few.keys()), list(few.values()))):
@@ -308,7 +308,8 @@ def _lexicon(counts: DataFrame, n: int, v: int, cfg: Settings):
     """Table of the more frequent words (at most 1/table_share), suffix classes, and the share of each symbol."""
     table = counts.filter(F.col("c") >= _least(n, cfg.table_share)).collect()
     table = sorted(((bytes(r["word"]), r["c"]) for r in table), key=lambda p: (-p[1], p[0]))
-    end = next((c for w, c in table if w == END), 0)
+    end = counts.filter(F.octet_length("word") == 0).first()
+    end = end["c"] if end else 0
     table = [(END, end), *(p for p in table if p[0] != END)]
     least = _least(n, cfg.symbol_share)
     symbols = 1 + sum(c >= least for _, c in table[1:])

@@ -152,11 +152,12 @@ def count_kinds(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", limit: float = 3.0) -> dict[str, float]:
-    """Weight by kind. Words: log-odds of inside against outside, clipped to limit. Tags: below zero, more so the more they stand outside."""
+    """Weight by kind. Words: log-odds of inside against outside, with the unlearned weight as one prior word, clipped to limit. Tags: below
+    zero, more so the more they stand outside."""
     got = {r["kind"]: (r["inside"], r["outside"]) for r in count_kinds(pages, html_col).collect()}
     out = {}
     for kind, (inside, outside) in got.items():
-        odds = math.log((inside + 1) / (outside + 1))
+        odds = math.log((inside + (math.exp(_weight({}, kind)) if kind.startswith("word") else 1)) / (outside + 1))
         out[kind] = max(-limit, min(limit, odds)) if kind.startswith("word") else -0.1 - max(0.0, min(1.0, -odds))
     return out
 

@@ -18,7 +18,8 @@ from axonlake.llm.common import read_table, shared_dir
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts, as they were; texts without a letter or below the calibrated threshold go."""
     model = langid.train_language_model(docs.filter(langid.learning_rows()))
-    return langid.predict_language(docs, model).filter("not rejected").select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # so that columns of the predictor's names stay as they are
+    return langid.predict_language(rows, model).filter("not rejected").select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
