@@ -72,7 +72,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: i
     return w, bias
 
 
-def train_toxicity_model(labelled: DataFrame, bits: int = 21, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 2.0, fit_rows: int = 8000) -> ToxicityModel:
+def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 2.0, fit_rows: int = 8000) -> ToxicityModel:
     """Fit on columns (id, text, toxic 0/1). Ratios count every row; the regression uses at most about fit_rows rows, drawn by a hash of
     the id (the documented bound of the fit). N-grams in fewer than least_texts texts or a smaller share than least_share of the
     texts, or with a ratio below least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
@@ -124,9 +124,10 @@ def learning_rows(id_col: str = "doc_id") -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, text, toxic) of documents with a toxic label; of several labels of a document the highest counts."""
+    """(id, text, toxic) of documents with a toxic label; of several labels of a document the highest counts. Labels grow with the
+    documents, so they are never broadcast."""
     marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.join(marks, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
+    return docs.join(marks.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
