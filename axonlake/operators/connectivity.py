@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import circular_shift, mixed
+from ..functions.scalars import circular_shift, correlation, mixed
 
 
 def tiled_fraction(spikes: DataFrame, recordings: DataFrame, dt: float, keys=("rec", "ch")) -> DataFrame:
@@ -110,7 +110,7 @@ def correlations(frames: DataFrame, keys=("rec",), unit: str = "roi", time: str
     a = frames.select(*keys, F.col(time).alias("__t"), F.col(unit).alias("src"), F.col(value).alias("x"))
     b = frames.select(*keys, F.col(time).alias("__t"), F.col(unit).alias("dst"), F.col(value).alias("y"))
     p = a.join(b, [*keys, "__t"]).filter("src < dst")
-    return p.groupBy(*keys, "src", "dst").agg(F.corr("x", "y").alias("w"))
+    return p.groupBy(*keys, "src", "dst").agg(correlation("x", "y").alias("w"))
 
 
 def clean(edges: DataFrame) -> DataFrame:

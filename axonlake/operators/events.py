@@ -109,7 +109,7 @@ def burst_summary(spikes: DataFrame, found: DataFrame, recordings: DataFrame) ->
     """Network-burst summary per recording: rate per minute, mean length, mean channels, CV of the gap between bursts, fraction of events inside."""
     w = Window.partitionBy("rec").orderBy("t0")
     g = found.withColumn("ibi", F.col("t0") - F.lag("t1").over(w))
-    a = g.groupBy("rec").agg(F.count(F.lit(1)).alias("n_bursts"), F.avg(F.col("t1") - F.col("t0")).alias("mean_length"), F.avg("channels").alias("mean_channels"), (F.stddev_samp("ibi") / F.avg("ibi")).alias("cv_ibi"))
+    a = g.groupBy("rec").agg(F.count(F.lit(1)).alias("n_bursts"), F.avg(F.col("t1") - F.col("t0")).alias("mean_length"), F.avg("channels").alias("mean_channels"), F.try_divide(F.stddev_samp("ibi"), F.avg("ibi")).alias("cv_ibi"))
     inside = events_in(spikes, found).groupBy("rec").agg(F.count(F.lit(1)).alias("n_in"))
     total = spikes.groupBy("rec").agg(F.count(F.lit(1)).alias("n_all"))
     out = recordings.join(total, "rec", "left").join(a, "rec", "left").join(inside, "rec", "left")
@@ -119,7 +119,7 @@ def burst_summary(spikes: DataFrame, found: DataFrame, recordings: DataFrame) ->
 def channel_burst_summary(spikes: DataFrame, found: DataFrame, recordings: DataFrame) -> DataFrame:
     """Per channel: burst rate per minute, mean duration, events per second inside, fraction of events inside; channels without bursts have rate 0."""
     all_ = spikes.groupBy(*TRAIN).agg(F.count(F.lit(1)).alias("n_all"))
-    b = found.groupBy(*TRAIN).agg(F.count(F.lit(1)).alias("n_bursts"), F.avg(F.col("t1") - F.col("t0")).alias("mean_duration"), F.sum("n").alias("n_in"), F.avg(F.col("n") / (F.col("t1") - F.col("t0"))).alias("rate_in"))
+    b = found.groupBy(*TRAIN).agg(F.count(F.lit(1)).alias("n_bursts"), F.avg(F.col("t1") - F.col("t0")).alias("mean_duration"), F.sum("n").alias("n_in"), F.avg(F.try_divide(F.col("n"), F.col("t1") - F.col("t0"))).alias("rate_in"))
     out = all_.join(b, list(TRAIN), "left").join(recordings.select("rec", "duration_s"), "rec")
     zero = F.lit(0)
     return out.select(*TRAIN, (F.coalesce("n_bursts", zero) / (F.col("duration_s") / 60)).alias("burst_rate"), "mean_duration", "rate_in", (F.coalesce("n_in", zero) / F.col("n_all")).alias("fraction_in_bursts"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iterate import cut
+from ..functions.scalars import correlation
 from .connectivity import both_ways
 
 
@@ -55,7 +56,7 @@ def transitivity(edges: DataFrame, keys: list[str], binary: bool = True) -> Data
     e = edges.withColumn("w", F.lit(1.0)) if binary else edges
     t = triangles(e, keys).groupBy(*keys).agg(F.sum(F.cbrt(F.col("wxy") * F.col("wyz") * F.col("wxz"))).alias("__t"))
     p = degrees(edges, keys, 0.0).groupBy(*keys).agg(F.sum(F.col("degree") * (F.col("degree") - 1)).alias("__p"))
-    return p.join(t, keys, "left").select(*keys, (6 * F.coalesce("__t", F.lit(0.0)) / F.col("__p")).alias("transitivity"))
+    return p.join(t, keys, "left").select(*keys, F.try_divide(6 * F.coalesce("__t", F.lit(0.0)), F.col("__p")).alias("transitivity"))
 
 
 def shortest_paths(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
@@ -139,7 +140,7 @@ def rich_club(edges: DataFrame, keys: list[str], max_k: int) -> DataFrame:
     club = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.least("ds", "dd").cast("int"), F.lit(max_k))))).groupBy(*keys, "k").agg(F.sum("w").alias("wr"), F.count(F.lit(1)).alias("er"))
     w = Window.partitionBy(*keys).orderBy(F.desc("w"), "src", "dst")
     ranked = edges.select(*keys, F.row_number().over(w).alias("er"), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
-    return club.join(ranked, [*keys, "er"]).select(*keys, "k", (F.col("wr") / F.col("top")).alias("rw"))
+    return club.join(ranked, [*keys, "er"]).select(*keys, "k", F.try_divide(F.col("wr"), F.col("top")).alias("rw"))
 
 
 #: Default boundaries of node roles.
@@ -196,7 +197,7 @@ def within_group_strength(edges: DataFrame, membership: DataFrame, keys: list[st
     total = degrees(edges, keys, 0.0).select(*keys, "node", "strength")
     m = membership.select("rec", F.col("ch").alias("node"), "cell_group")
     inside = degrees(induced(edges, membership, keys), [*keys, "cell_group"], 0.0).select(*keys, "cell_group", "node", F.col("strength").alias("inside"))
-    return total.join(m, ["rec", "node"]).join(inside, [*keys, "cell_group", "node"], "left").select(*keys, "cell_group", "node", (F.coalesce("inside", F.lit(0.0)) / F.col("strength")).alias("share"))
+    return total.join(m, ["rec", "node"]).join(inside, [*keys, "cell_group", "node"], "left").select(*keys, "cell_group", "node", F.try_divide(F.coalesce("inside", F.lit(0.0)), F.col("strength")).alias("share"))
 
 
 def components(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> DataFrame:
@@ -265,7 +266,7 @@ def assortativity(edges: DataFrame, keys: list[str], weighted: bool = False) ->
     """Correlation of the degrees (or strengths) at the two ends of edges."""
     d = degrees(edges, keys, 0.0).select(*keys, "node", (F.col("strength") if weighted else F.col("degree").cast("double")).alias("d"))
     s = both_ways(edges, keys).join(d.select(*keys, F.col("node").alias("src"), F.col("d").alias("x")), [*keys, "src"]).join(d.select(*keys, F.col("node").alias("dst"), F.col("d").alias("y")), [*keys, "dst"])
-    return s.groupBy(*keys).agg(F.corr("x", "y").alias("r"))
+    return s.groupBy(*keys).agg(correlation("x", "y").alias("r"))
 
 
 def matching_index(edges: DataFrame, keys: list[str]) -> DataFrame:

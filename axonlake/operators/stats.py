@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation, group_d_prime
+
 
 def _beta_cf(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 / max(1e-300, abs(1 - (a + b) * x / (a + 1))) * math.copysign(1, 1 - (a + b) * x / (a + 1))
@@ -60,8 +62,8 @@ def pairwise_tests(rows: DataFrame, keys: list[str], group: str = "grp", value:
     on = a.join(b, keys) if keys else a.join(b, F.col("group_a") < F.col("group_b"))
     p = on.filter("group_a < group_b")
     df = F.col("na") + F.col("nb") - 2
-    pooled = ((F.col("na") - 1) * F.col("sa") ** 2 + (F.col("nb") - 1) * F.col("sb") ** 2) / df
-    return p.select(*keys, "group_a", "group_b", ((F.col("ma") - F.col("mb")) / F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))).alias("t"), df.alias("df"), ((F.col("mb") - F.col("ma")) / ((F.col("sb") + F.col("sa")) / 2)).alias("d_prime"))
+    pooled = F.try_divide((F.col("na") - 1) * F.col("sa") ** 2 + (F.col("nb") - 1) * F.col("sb") ** 2, df)
+    return p.select(*keys, "group_a", "group_b", F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))).alias("t"), df.alias("df"), group_d_prime(F.col("ma"), F.col("mb"), F.col("sa"), F.col("sb")).alias("d_prime"))
 
 
 def paired_tests(rows: DataFrame, keys: list[str], subject: str = "subject", age: str = "age", value: str = "value") -> DataFrame:
@@ -125,7 +127,7 @@ def feature_correlations(wide: DataFrame, keys: list[str], features: list[str])
     """(keys, a, b, r) over complete rows."""
     full = wide.dropna(subset=features)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    g = full.groupBy(*keys).agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    g = full.groupBy(*keys).agg(*(correlation(a, b).alias(f"{a}|{b}") for a, b in pairs))
     return g.select(*keys, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs))).alias("x")).select(*keys, "x.a", "x.b", "x.r")
 
 

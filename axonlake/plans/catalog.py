@@ -457,7 +457,7 @@ def rich_club(spark, d):
     return _rounded(network.rich_club(views.supplier_edges(spark, d), KEY, 60))
 
 
-@query("assortativity", "SELECT sym.rec, round(corr(a.k, b.k), 6) AS r FROM sym JOIN deg a ON a.rec = sym.rec AND a.node = src JOIN deg b ON b.rec = sym.rec AND b.node = dst GROUP BY sym.rec")
+@query("assortativity", "SELECT sym.rec, CASE WHEN stddev_pop(a.k) > 0 THEN round(corr(a.k, b.k), 6) END AS r FROM sym JOIN deg a ON a.rec = sym.rec AND a.node = src JOIN deg b ON b.rec = sym.rec AND b.node = dst GROUP BY sym.rec")
 def assortativity(spark, d):
     return _rounded(network.assortativity(views.supplier_edges(spark, d), KEY))
 
