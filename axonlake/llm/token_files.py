@@ -14,6 +14,8 @@ eight bytes, ones before each block u32 each.
 from __future__ import annotations
 
 import struct
+import uuid
+import zlib
 from array import array
 
 import numpy as np
@@ -212,12 +214,15 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     rows.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
-def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the shard files at path: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian u32, binary)."""
+def read_token_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the shard files at path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless with_ids is
+    false, ids (little-endian u32, binary). The checksum is taken where a shard is decoded, so without ids only small rows move on."""
     files = spark.read.parquet(path)
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard of millions of ids
     starts = files.select("part", "seq", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
 
+    names_ = ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+
     def run(batches):
         for b in batches:
             for part, seq, payload in zip(*(b.column(i) for i in range(3))):
@@ -225,24 +230,23 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 ids, begins = wm.decode().astype("<u4"), np.concatenate([[0], ends[:-1]])
                 for at in range(0, len(names), 1000):
                     lo, hi = begins[at : at + 1000], ends[at : at + 1000]
-                    values = pa.array([ids[i:j].tobytes() for i, j in zip(lo, hi)], pa.binary())
+                    values = [ids[i:j].tobytes() for i, j in zip(lo, hi)]
                     k = len(lo)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), pa.array(names[at : at + 1000], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi - lo, pa.int64()), values],
-                        ["part", "seq", "doc_id", "at", "n_tokens", "ids"],
+                        [pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), pa.array(names[at : at + 1000], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array([zlib.crc32(v) for v in values], pa.int64()), *([pa.array(values, pa.binary())] if with_ids else [])],
+                        names_,
                     )
 
-    rows = files.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids")
+    schema = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    rows = files.select("part", "seq", "payload").mapInArrow(run, schema)
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
     """Every document, from the files read back: doc_id, start, n_tokens, ids_crc32."""
-    import uuid
-
     path = f"{shared_dir(spark)}/axonlake-token-shards-{uuid.uuid4().hex}"
     write_token_shards(read_table(spark, sf_dir, "documents"), default_tokenizer(), path)
-    return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_shards(spark, path, with_ids=False)
 
 
 QUERIES = {"op2_token_files": op2_token_files}
