@@ -47,7 +47,7 @@ def query(name: str, sql: str | None = None):
             views_ = ", ".join(known[k] for k in known if k in use)
             body = sql.strip()
             if body.startswith("WITH RECURSIVE "):
-                ORACLE[name] = f"WITH RECURSIVE {views_}, {body[15:]}"
+                ORACLE[name] = f"WITH RECURSIVE {views_}, {body[15:]}" if views_ else body
             elif body.startswith("WITH "):
                 ORACLE[name] = f"WITH {views_}, {body[5:]}" if views_ else body
             else:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from axonlake.plans import catalog
+from axonlake.plans import catalog, catalog_extra  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 SLOW = {"classifier_losses", "pagerank", "normalised_participation"}
