@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from axonlake.plans import catalog, catalog_extra  # noqa: F401
+from axonlake.plans import catalog, catalog_extra, catalog_reports  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"classifier_losses", "pagerank", "normalised_participation"}
+SLOW = {"classifier_losses", "pagerank", "normalised_participation", "pattern_decoding"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
 
 
