@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_ngram_hashes, crc_mod, drop_staged, read_table, stage_table
 
-ORDERS, STRETCH = (5, 6, 7), 1 << 20
+ORDERS, STRETCH = (4, 5, 6, 7), 1 << 20
 
 
 @dataclass
@@ -55,7 +55,7 @@ def count_ngrams(labelled: DataFrame, bits: int) -> DataFrame:
     return labelled.select("text", F.col("toxic").cast("int")).mapInArrow(run, "bucket int, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 1e-2, seed: int = 5) -> tuple[np.ndarray, float]:
     """AdaGrad over sparse rows of present buckets with value r[bucket]; returns w and bias."""
     w, square, bias = np.zeros(len(r), np.float64), np.full(len(r), 1e-6), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     bias_square, rng = 1e-6, np.random.RandomState(seed)
@@ -72,7 +72,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: i
     return w, bias
 
 
-def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 2.0, fit_rows: int = 8000) -> ToxicityModel:
+def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 1.8, fit_rows: int = 8000) -> ToxicityModel:
     """Fit on columns (id, text, toxic 0/1). Ratios count every row; the regression uses at most about fit_rows rows, drawn by a hash of
     the id (the documented bound of the fit). N-grams in fewer than least_texts texts or a smaller share than least_share of the
     texts, or with a ratio below least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
