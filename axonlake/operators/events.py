@@ -263,3 +263,28 @@ def in_every_age(rows: DataFrame, subject: str, age: str) -> DataFrame:
 def mode(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Most frequent value, the smallest on ties."""
     return rows.groupBy(*keys).agg(F.mode(value, True).alias(value))
+
+
+def zscore_burst_counts(spikes: DataFrame, channels: DataFrame, recordings: DataFrame, bin_s: float = 1.0, thresholds: int = 50, top: float = 5.0) -> DataFrame:
+    """(rec, threshold, n): number of activity peaks at each of `thresholds` levels up to `top`."""
+    z = zscore_bursts(spikes, channels, recordings, bin_s, 0.0)
+    levels = F.explode(F.array(*(F.lit(top * (i + 1) / thresholds) for i in range(thresholds))))
+    return z.withColumn("threshold", levels).filter("z >= threshold").groupBy("rec", "threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def surrogates_udtf():
+    """A table function surrogates(times array<double>, duration_s, n_rep, seed) -> (rep, t): circularly shifted copies of a train, for SQL users.
+    Register it with spark.udtf.register("surrogates", surrogates_udtf())."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="rep int, t double")
+    class Surrogates:
+        def eval(self, times, duration_s, n_rep, seed):
+            import random
+
+            for rep in range(1, n_rep + 1):
+                by = random.Random(seed * 1_000_003 + rep).uniform(0, duration_s)
+                for t in sorted((t + by) % duration_s for t in times or ()):
+                    yield rep, t
+
+    return Surrogates

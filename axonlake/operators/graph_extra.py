@@ -223,3 +223,34 @@ def landscape(nodes: DataFrame, keys: list[str], points: int = 40, bandwidth: tu
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))).alias("o")
     near = d.select(*keys, "i", "j", "density", around).select(*keys, (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), "density").groupBy(*keys, "i", "j").agg(F.max("density").alias("next"))
     return d.join(near, [*keys, "i", "j"]).select(*keys, "i", "j", "pc", "z", "density", (F.col("density") > F.col("next")).alias("peak"))
+
+
+def nodes_in_all(membership: DataFrame, groups: list[str]) -> DataFrame:
+    """(rec, ch) of units that belong to every one of the groups."""
+    m = membership.filter(F.col("cell_group").isin(groups)).groupBy("rec", "ch").agg(F.count_distinct("cell_group").alias("k"))
+    return m.filter(F.col("k") == len(set(groups))).select("rec", "ch")
+
+
+def edges_shown(edges: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): edges at or above each network's cut."""
+    return edges.join(cuts, keys).groupBy(*keys).agg(F.sum((F.col("w") >= F.col("cut")).cast("long")).alias("n"))
+
+
+def composition(membership: DataFrame, active: DataFrame) -> DataFrame:
+    """(rec, cell_group, cells, share, active_cells, active_share) per group; active has rec, ch."""
+    total = membership.select("rec", "ch").distinct().groupBy("rec").agg(F.count(F.lit(1)).alias("all"))
+    m = membership.join(active.select("rec", "ch").distinct().withColumn("on", F.lit(1)), ["rec", "ch"], "left")
+    g = m.groupBy("rec", "cell_group").agg(F.count(F.lit(1)).alias("cells"), F.count("on").alias("active_cells")).join(total, "rec")
+    return g.select("rec", "cell_group", "cells", (F.col("cells") / F.col("all")).alias("share"), "active_cells", (F.col("active_cells") / F.col("cells")).alias("active_share"))
+
+
+def group_means(node_metrics: DataFrame, membership: DataFrame) -> DataFrame:
+    """Node metrics (rec, node, metric, value) as means per group: one scalar row per recording, group and metric."""
+    m = membership.withColumnRenamed("ch", "node")
+    return node_metrics.join(m, ["rec", "node"]).groupBy("rec", "cell_group", "metric").agg(F.avg("value").alias("value"))
+
+
+def ordered_groups(rows: DataFrame, order: list[str], group: str = "grp") -> DataFrame:
+    """rows with `position` of their group in a custom order, from 1; groups not listed come last."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(group))
+    return rows.withColumn("position", F.when(at > 0, at).otherwise(len(order) + 1))

@@ -314,3 +314,18 @@ def normalised_coordinates(rois: DataFrame) -> DataFrame:
     w = Window.partitionBy("rec")
     lo, hi = F.min(F.least("x", "y")).over(w), F.max(F.greatest("x", "y")).over(w)
     return rois.withColumns({c: (F.col(c) - lo) / (hi - lo) * 8 for c in ("x", "y")})
+
+
+def resample(frames: DataFrame, fs: float, target: float, value: str = "f", keys=("rec", "roi")) -> DataFrame:
+    """(keys, bin, value) at min(target, fs) by a windowed-sinc low-pass: every output point is a weighted sum of nearby frames, as a join with
+    the filter's taps, so traces of any length stay relational."""
+    keys, rate = list(keys), min(target, fs)
+    step = fs / rate
+    half = math.ceil(5 * step)
+    near = frames.withColumn("bin", F.explode(F.sequence(F.greatest(F.ceil((F.col("frame") - half) / step), F.lit(0).cast("long")), F.floor((F.col("frame") + half) / step))))
+    x = (F.col("frame") - F.col("bin") * step) / step
+    sinc = F.when(F.abs(x) < 1e-9, 1.0).otherwise(F.sin(math.pi * x) / (math.pi * x))
+    weight = sinc * (0.54 + 0.46 * F.cos(math.pi * F.least(F.abs(x) / 5, F.lit(1.0))))
+    out = near.withColumn("__w", weight).groupBy(*keys, "bin").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias(value), F.max("frame").alias("__last"))
+    last = frames.groupBy(*keys).agg(F.max("frame").alias("__end"))
+    return out.join(last, keys).filter(F.col("bin") * step <= F.col("__end")).drop("__last", "__end")

@@ -131,3 +131,57 @@ def batch_roles(spark, d):
 @query("role_landscape")
 def role_landscape(spark, d):
     return _rounded(g.landscape(_nodes(spark, d), KEY, 20))
+
+
+_MEMBERS = "mem AS (SELECT 1 AS rec, s_suppkey + 1 AS ch, 'a' AS cell_group FROM supplier WHERE s_nationkey % 3 = 0 UNION ALL SELECT 1, s_suppkey + 1, 'b' FROM supplier WHERE s_nationkey % 2 = 0)"
+
+
+def _members(spark, d):
+    s = views.table(spark, d, "supplier").select(F.lit(1).alias("rec"), (F.col("s_suppkey") + 1).alias("ch"), "s_nationkey", "s_acctbal")
+    a = s.filter("s_nationkey % 3 = 0").select("rec", "ch", F.lit("a").alias("cell_group"))
+    return a.unionByName(s.filter("s_nationkey % 2 = 0").select("rec", "ch", F.lit("b").alias("cell_group"))), s
+
+
+@query("cells_in_all_groups", f"WITH {_MEMBERS} SELECT rec, ch FROM mem GROUP BY rec, ch HAVING count(DISTINCT cell_group) = 2")
+def cells_in_all_groups(spark, d):
+    return g.nodes_in_all(_members(spark, d)[0], ["a", "b"])
+
+
+@query("cell_composition", f"""WITH {_MEMBERS}, n AS (SELECT count(DISTINCT ch) AS n FROM mem)
+    SELECT rec, cell_group, count(*) AS cells, round(count(*) / any_value(n), 6) AS share, count(*) FILTER (s_acctbal > 0) AS active_cells, round(count(*) FILTER (s_acctbal > 0) / count(*), 6) AS active_share FROM mem JOIN supplier ON s_suppkey + 1 = ch, n GROUP BY ALL""")
+def cell_composition(spark, d):
+    m, s = _members(spark, d)
+    return _rounded(g.composition(m, s.filter("s_acctbal > 0")))
+
+
+@query("group_metric_means", f"WITH {_MEMBERS} SELECT rec, cell_group, 'balance' AS metric, round(avg(s_acctbal), 6) AS value FROM mem JOIN supplier ON s_suppkey + 1 = ch GROUP BY ALL")
+def group_metric_means(spark, d):
+    m, s = _members(spark, d)
+    return _rounded(g.group_means(s.select("rec", F.col("ch").alias("node"), F.lit("balance").alias("metric"), F.col("s_acctbal").alias("value")), m))
+
+
+@query("edges_shown", "WITH c AS (SELECT rec, quantile_cont(w, 0.9) AS cut FROM edges GROUP BY rec) SELECT rec, count(*) FILTER (w >= cut) AS n FROM edges JOIN c USING (rec) GROUP BY rec")
+def edges_shown(spark, d):
+    from ..operators import connectivity as conn
+
+    e = views.supplier_edges(spark, d)
+    return g.edges_shown(e, conn.percentile_cut(e, network.degrees(e, KEY), KEY, 0.9, of_all_entries=False), KEY)
+
+
+@query("ordered_groups", "SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END::BIGINT AS position FROM customer")
+def ordered_groups(spark, d):
+    return g.ordered_groups(views.table(spark, d, "customer"), ["MACHINERY", "BUILDING"], "c_mktsegment").select("c_custkey", F.col("position").cast("long").alias("position"))
+
+
+@query("resampled_frames")
+def resampled_frames(spark, d):
+    from ..operators import signal
+
+    return _rounded(signal.resample(views.frames(spark, d, 8), 33.3, 10.0))
+
+
+@query("zscore_burst_counts")
+def zscore_burst_counts(spark, d):
+    from ..operators import events as ev
+
+    return ev.zscore_burst_counts(views.spikes(spark, d), views.channels(spark, d), views.recordings(spark, d), 3600.0, 10, 2.0)

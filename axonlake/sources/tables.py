@@ -60,7 +60,7 @@ def electrode_id(col: Column, row: Column) -> Column:
 def layout(spark: SparkSession, name: str) -> DataFrame:
     """(ch, x, y) of a named electrode layout, coordinates on 0..8. Grids are built from their rule."""
     n, drop_corners, gone = {"grid8": (8, False, ()), "grid4": (4, False, ()), "MCS60": (8, True, ()), "MCS59": (8, True, (82,))}[name]
-    g = spark.range(1, n + 1).select(F.col("id").alias("c")).join(spark.range(1, n + 1).select(F.col("id").alias("r")), F.lit(True))  # n x n
+    g = spark.range(1, n + 1).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r"))
     if drop_corners:
         g = g.filter(~(F.col("c").isin(1, n) & F.col("r").isin(1, n)))
     g = g.select(electrode_id(F.col("c"), F.col("r")).cast("int").alias("ch"), ((F.col("c") - 1) / (n - 1) * 8).alias("x"), ((n - F.col("r")) / (n - 1) * 8).alias("y"))
