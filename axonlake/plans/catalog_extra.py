@@ -46,7 +46,7 @@ def directed_clustering(spark, d):
 
 
 @query("directed_transitivity", f"""WITH {_ARCS}, {_LINKS}, t AS (SELECT a.rec, sum(a.k * b.k * c.k) / 2 AS t FROM e a JOIN e b ON a.rec = b.rec AND a.y = b.x JOIN e c ON c.rec = b.rec AND c.x = b.y AND c.y = a.x GROUP BY a.rec),
-    k AS (SELECT rec, sum(k * (k - 1) - 2 * r) AS p FROM (SELECT rec, x, sum(k) AS k, count(*) FILTER (k = 2) AS r FROM e GROUP BY ALL) GROUP BY rec) SELECT rec, round(t / p, 6) AS transitivity FROM t JOIN k USING (rec)""")
+    k AS (SELECT rec, sum(k * (k - 1) - 2 * r) AS p FROM (SELECT rec, x, sum(k) AS k, count(*) FILTER (k = 2) AS r FROM e GROUP BY ALL) GROUP BY rec) SELECT rec, round(CASE WHEN p <> 0 THEN coalesce(t, 0) / p END, 6) AS transitivity FROM k LEFT JOIN t USING (rec)""")
 def directed_transitivity(spark, d):
     return _rounded(g.directed_transitivity(_arcs(spark, d), KEY))
 
@@ -111,7 +111,7 @@ def backbone(spark, d):
     return g.backbone(_sparse(spark, d), KEY)
 
 
-@query("hub_scores", """SELECT rec, node, round(coalesce((k - avg(k) OVER w) / stddev_samp(k) OVER w, 0) + coalesce((s - avg(s) OVER w) / stddev_samp(s) OVER w, 0), 6) AS score FROM deg WINDOW w AS (PARTITION BY rec)""")
+@query("hub_scores", """SELECT rec, node, round(coalesce((k - avg(k) OVER w) / nullif(stddev_samp(k) OVER w, 0), 0) + coalesce((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 0), 6) AS score FROM deg WINDOW w AS (PARTITION BY rec)""")
 def hub_scores(spark, d):
     return _rounded(g.hub_scores(network.degrees(views.supplier_edges(spark, d), KEY), KEY, ["degree", "strength"]))
 
