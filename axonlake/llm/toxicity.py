@@ -2,7 +2,8 @@
 
 Log-count ratios r come from all labelled rows for learning: each task counts, for each hashed n-gram, the toxic and the clean texts
 that contain it, and Spark adds the counts. A logistic regression over x = r * presence is then fitted on a bounded sample of those
-rows. A score is the logistic of the sum of w * r over the distinct n-grams of the whole text.
+rows, and scaled by the scores that rows get from models which have not seen them, neither in the ratios nor in the fit. A score is the
+logistic of the sum of w * r over the distinct n-grams of the whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_ngram_hashes, crc_mod, drop_staged, read_table, stage_table
 
-ORDERS, STRETCH = (4, 5, 6, 7), 1 << 20
+ORDERS, STRETCH, FOLDS = (4, 5, 6, 7), 1 << 20, 3
 
 
 @dataclass
@@ -72,34 +73,69 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, epochs: i
     return w, bias
 
 
-def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_share: float = 0.005, least_texts: int = 5, least_ratio: float = 1.8, fit_rows: int = 8000) -> ToxicityModel:
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, rows: tuple[int, int], least_texts: int, least_ratio: float) -> np.ndarray:
+    """Log-count ratios of n-grams in so many toxic and clean texts of rows = (toxic, clean) texts; 0 below either floor."""
+    r = np.log((toxic + 1) / (rows[0] + 2)) - np.log((clean + 1) / (rows[1] + 2))
+    return np.where((toxic + clean >= least_texts) & (np.abs(r) >= least_ratio), r, 0)
+
+
+def fit_scale(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) of the logistic of a * s + b with Platt's smoothed targets; (1, 0) where s does not rank toxic texts higher."""
+    n = y.sum()
+    want, z = np.where(y > 0, (n + 1) / (n + 2), 1 / (len(y) - n + 2)), np.stack([s, np.ones(len(s))])
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(at @ z, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))) @ z.T + 1e-6 * np.eye(2), z @ (p - want))
+        at = at - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0)
+
+
+def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_texts: int = 5, least_ratio: float = 1.8, fit_rows: int = 8000) -> ToxicityModel:
     """Fit on columns (id, text, toxic 0/1). Ratios count every row; the regression uses at most about fit_rows rows, drawn by a hash of
-    the id (the documented bound of the fit). N-grams in fewer than least_texts texts or a smaller share than least_share of the
-    texts, or with a ratio below least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
+    the id (the documented bound of the fit). N-grams in fewer than least_texts texts, however many texts there are, or with a ratio below
+    least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
     counts = stage_table(count_ngrams(labelled, bits), "toxicity-counts")
     total = counts.filter("bucket < 0").first()
     toxic, clean = (total["toxic"], total["clean"]) if total else (0, 0)
-    least = max(least_texts, least_share * (toxic + clean))
-    got = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= least)).toPandas()  # at most 2**bits rows, in fact few
+    ratio = F.ln((F.col("toxic") + 1) / F.lit(toxic + 2)) - F.ln((F.col("clean") + 1) / F.lit(clean + 2))
+    got = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= least_texts) & (F.abs(ratio) >= least_ratio)).toPandas()  # at most 2**bits rows
     drop_staged(counts)
     if not toxic or not clean:
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log((toxic + 1) / (clean + 1))), bits)
-    r = np.zeros(1 << bits, np.float64)
-    r[got.bucket.to_numpy()] = np.log((got.toxic.to_numpy() + 1) / (toxic + 2)) - np.log((got.clean.to_numpy() + 1) / (clean + 2))
-    r[np.abs(r) < least_ratio] = 0
+    n = np.zeros((2, 1 << bits), np.int64)
+    n[1][got.bucket.to_numpy()], n[0][got.bucket.to_numpy()] = got.toxic.to_numpy(), got.clean.to_numpy()
+    r = log_ratios(n[1], n[0], (toxic, clean), least_texts, least_ratio)
     keep = labelled.sparkSession.sparkContext.broadcast(r != 0)
     grain = 1_000_000
 
     def run(batches):
         for b in batches:
             rows = [_distinct(t.as_py() or "", bits, keep.value).astype("<u4").tobytes() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["at", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1), b.column(2)], ["at", "toxic", "fold"])
 
     drawn = labelled.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(grain)) < min(grain, -(-grain * fit_rows // (toxic + clean))))
-    sample = drawn.select("text", F.col("toxic").cast("int")).mapInArrow(run, "at binary, toxic int").collect()
-    sample.sort(key=lambda x: (bytes(x["at"]), x["toxic"]))
-    w, bias = fit_logistic([np.frombuffer(x["at"], "<u4") for x in sample], np.array([x["toxic"] for x in sample], float), r)
-    return ToxicityModel((w * r).astype(np.float32), bias, bits)
+    fold = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(FOLDS)).cast("int")  # copies of a text share a fold
+    sample = drawn.select("text", F.col("toxic").cast("int"), fold.alias("fold")).mapInArrow(run, "at binary, toxic int, fold int").collect()
+    sample.sort(key=lambda x: (bytes(x["at"]), x["toxic"], x["fold"]))
+    rows, y, folds = [np.frombuffer(x["at"], "<u4") for x in sample], np.array([x["toxic"] for x in sample], float), np.array([x["fold"] for x in sample])
+    w, bias = fit_logistic(rows, y, r)
+    a, b = 1.0, 0.0
+    if 0 < y.sum() < len(y):
+        s = np.zeros(len(y))
+        for k in range(FOLDS):
+            out, seen = np.flatnonzero(folds == k), np.flatnonzero(folds != k)
+            m = n.copy()
+            for i in out:
+                m[int(y[i])][rows[i]] -= 1
+            left = log_ratios(m[1], m[0], (toxic - int(y[out].sum()), clean - int((1 - y[out]).sum())), least_texts, least_ratio)
+            v, c = fit_logistic([rows[i][left[rows[i]] != 0] for i in seen], y[seen], left)
+            weight = v * left
+            s[out] = [weight[rows[i]].sum() + c for i in out]
+        a, b = fit_scale(s, y)
+    return ToxicityModel((a * w * r).astype(np.float32), a * bias + b, bits)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:

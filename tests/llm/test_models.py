@@ -133,3 +133,15 @@ def test_toxicity(spark):
     assert right >= 0.95 * len(held)
     empty = toxicity.train_toxicity_model(toxicity.labelled_texts(data.empty(spark), labels), bits=10)
     assert {r.score for r in toxicity.score_toxicity(docs.limit(3), empty).collect()} == {0.5}
+
+
+def test_toxic_words_of_a_rare_class_keep_their_weight(spark):
+    """Seven toxic texts among 2,007: their word is in less than half a percent of all texts, and only in toxic ones."""
+    rows = [(i, data.prose("en", 12, i), 0) for i in range(2000)] + [(2000 + i, f"{data.prose('en', 12, 2000 + i)} bocoos {data.prose('en', 12, 3000 + i)}", 1) for i in range(7)]
+    known = spark.createDataFrame(rows, "id long, text string, toxic int")
+    model = toxicity.train_toxicity_model(known, bits=18, fit_rows=1_000_000)
+    assert model.weight[toxicity._distinct("bocoos", 18)].sum() > 0
+    fresh = spark.createDataFrame([(i, f"{data.prose('en', 12, 7000 + i)} {w} {data.prose('en', 12, 8000 + i)}", w) for i in range(20) for w in ("bocoos", "fine")], "id long, text string, w string")
+    got = toxicity.score_toxicity(fresh, model).groupBy("w").agg(F.min("score").alias("least"), F.max("score").alias("most")).collect()
+    by = {r.w: r for r in got}
+    assert by["bocoos"].least > by["fine"].most
