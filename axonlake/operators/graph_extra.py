@@ -80,19 +80,22 @@ def binary_efficiency(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> Da
     return n.join(e, keys, "left").select(*keys, F.try_divide(F.coalesce("e", F.lit(0.0)), F.col("n") * F.col("n") - F.col("n")).alias("efficiency"))
 
 
-def edge_ranges(edges: DataFrame, keys: list[str], max_hops: int = 4) -> DataFrame:
-    """(keys, src, dst, range): hops between the ends of an edge once it is taken away, up to max_hops (null beyond); over two is a shortcut."""
+def edge_ranges(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, src, dst, range): hops between the ends of an edge once it is taken away (null where no way is left); over two is a shortcut."""
     s = cut(both_ways(edges, keys).select(*keys, "src", "dst").distinct())
-    e = edges.select(*keys, "src", "dst")
-    front, found = e.select(*keys, "src", "dst", F.col("src").alias("at")), None
-    for d in range(1, max_hops + 1):
+    e, ends, d = edges.select(*keys, "src", "dst"), [*keys, "src", "dst"], 0
+    found = e.filter("false").withColumn("range", F.lit(0))
+    seen = front = cut(e.distinct().withColumn("at", F.col("src")))
+    while not front.isEmpty():
+        d += 1
         moved = front.join(s.select(*keys, F.col("src").alias("at"), F.col("dst").alias("to")), [*keys, "at"])
-        moved = moved.filter(~(((F.col("at") == F.col("src")) & (F.col("to") == F.col("dst"))) | ((F.col("at") == F.col("dst")) & (F.col("to") == F.col("src"))))).select(*keys, "src", "dst", F.col("to").alias("at")).distinct()
-        hit = moved.filter("at = dst").select(*keys, "src", "dst", F.lit(d).alias("range"))
-        found = hit if found is None else found.unionByName(hit)
-        front = cut(moved.filter("at <> dst"))
-    least = found.groupBy(*keys, "src", "dst").agg(F.min("range").alias("range"))
-    return e.join(least, [*keys, "src", "dst"], "left")
+        moved = moved.filter(~(((F.col("at") == F.col("src")) & (F.col("to") == F.col("dst"))) | ((F.col("at") == F.col("dst")) & (F.col("to") == F.col("src"))))).select(*ends, F.col("to").alias("at")).distinct()
+        moved = cut(moved.join(seen, [*ends, "at"], "left_anti"))
+        hit = moved.filter("at = dst").select(*ends)
+        found = found.unionByName(hit.withColumn("range", F.lit(d)))
+        front = cut(moved.join(hit, ends, "left_anti"))
+        seen = seen.unionByName(front)
+    return e.join(found, ends, "left")
 
 
 def cycle_probability(edges: DataFrame, keys: list[str], length: int) -> DataFrame:

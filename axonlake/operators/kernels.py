@@ -339,14 +339,16 @@ def _nmf_residual(x: np.ndarray, k: int, rng, iterations: int = 200) -> float:
     return float(np.sqrt(((x - w @ h) ** 2).mean()))
 
 
-def nmf_components(counts: DataFrame, keys=("rec",), max_rank: int = 10, seed: int = 1) -> DataFrame:
+def nmf_components(counts: DataFrame, keys=("rec",), seed: int = 1) -> DataFrame:
     """(keys, components): ranks before the residual of real counts (keys, ch, bin, n) reaches that of counts shuffled in time.
 
-    Every (network, rank, real or shuffled) is a group, so the sweep runs side by side; the stop rule is a native minimum.
+    Ranks go from 1 to the number of active channels. Every (network, rank, real or shuffled) is a group, so the sweep runs side by side;
+    the stop rule is a native minimum.
     """
     keys = list(keys)
     active = counts.groupBy(*keys, "ch").agg(F.sum("n").alias("s")).filter("s > 1").drop("s")
-    c = counts.join(active, [*keys, "ch"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_rank)))).withColumn("shuffled", F.explode(F.array(F.lit(False), F.lit(True))))
+    ranks = active.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("ranks"))
+    c = counts.join(active, [*keys, "ch"]).join(ranks, keys).withColumn("k", F.explode(F.sequence(F.lit(1), "ranks"))).withColumn("shuffled", F.explode(F.array(F.lit(False), F.lit(True))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = [pdf[k].iloc[0] for k in keys]
@@ -363,4 +365,4 @@ def nmf_components(counts: DataFrame, keys=("rec",), max_rank: int = 10, seed: i
     got = c.groupBy(*keys, "k", "shuffled").applyInPandas(run, f"{_kinds(counts, keys)}, k int, shuffled boolean, res double")
     pair = got.groupBy(*keys, "k").agg(F.max(F.when(~F.col("shuffled"), F.col("res"))).alias("a"), F.max(F.when(F.col("shuffled"), F.col("res"))).alias("b"))
     stop = pair.filter("a is null or a >= b").groupBy(*keys).agg(F.min("k").alias("stop"))
-    return pair.select(*keys).distinct().join(stop, keys, "left").select(*keys, (F.coalesce("stop", F.lit(max_rank + 1)) - 1).alias("components"))
+    return ranks.join(stop, keys, "left").select(*keys, (F.coalesce("stop", F.col("ranks") + 1) - 1).alias("components"))

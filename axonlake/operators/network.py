@@ -133,11 +133,12 @@ def modularity(edges: DataFrame, communities: DataFrame, keys: list[str]) -> Dat
     return total.join(by, keys).join(inside, keys, "left").select(*keys, (F.coalesce("i", F.lit(0.0)) / F.col("s") - F.col("sq") / (F.col("s") * F.col("s"))).alias("q"))
 
 
-def rich_club(edges: DataFrame, keys: list[str], max_k: int) -> DataFrame:
-    """(keys, k, rw): weight among nodes of degree >= k over the sum of as many strongest entries of the network."""
+def rich_club(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, k, rw), k from 1 to the largest level with an edge: weight among nodes of degree >= k over the sum of as many strongest entries of the network."""
     d = degrees(edges, keys, 0.0).select(*keys, "node", "degree")
     e = edges.join(d.select(*keys, F.col("node").alias("src"), F.col("degree").alias("ds")), [*keys, "src"]).join(d.select(*keys, F.col("node").alias("dst"), F.col("degree").alias("dd")), [*keys, "dst"])
-    club = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.least("ds", "dd").cast("int"), F.lit(max_k))))).groupBy(*keys, "k").agg(F.sum("w").alias("wr"), F.count(F.lit(1)).alias("er"))
+    level = e.groupBy(*keys, F.least("ds", "dd").cast("int").alias("top_k")).agg(F.sum("w").alias("wr"), F.count(F.lit(1)).cast("int").alias("er"))
+    club = level.withColumn("k", F.explode(F.sequence(F.lit(1), "top_k"))).groupBy(*keys, "k").agg(F.sum("wr").alias("wr"), F.sum("er").alias("er"))
     w = Window.partitionBy(*keys).orderBy(F.desc("w"), "src", "dst")
     ranked = edges.select(*keys, F.row_number().over(w).alias("er"), F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
     return club.join(ranked, [*keys, "er"]).select(*keys, "k", F.try_divide(F.col("wr"), F.col("top")).alias("rw"))

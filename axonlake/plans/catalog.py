@@ -454,7 +454,7 @@ def hub_share(spark, d):
     t AS (SELECT rec, row_number() OVER v AS er, sum(w) OVER (PARTITION BY rec ORDER BY w DESC, src, dst ROWS UNBOUNDED PRECEDING) AS top FROM edges WINDOW v AS (PARTITION BY rec ORDER BY w DESC, src, dst))
     SELECT rec, k::INT AS k, round(wr / top, 6) AS rw FROM c JOIN t USING (rec, er)""")
 def rich_club(spark, d):
-    return _rounded(network.rich_club(views.supplier_edges(spark, d), KEY, 60))
+    return _rounded(network.rich_club(views.supplier_edges(spark, d), KEY))
 
 
 @query("assortativity", "SELECT sym.rec, CASE WHEN stddev_pop(a.k) > 0 THEN round(corr(a.k, b.k), 6) END AS r FROM sym JOIN deg a ON a.rec = sym.rec AND a.node = src JOIN deg b ON b.rec = sym.rec AND b.node = dst GROUP BY sym.rec")
@@ -651,7 +651,7 @@ def effective_rank(spark, d):
 @query("nmf_components")
 def nmf_components(spark, d):
     s = ev.binned(views.spikes(spark, d), 43200.0)
-    return kernels.nmf_components(s, max_rank=5)
+    return kernels.nmf_components(s)
 
 
 # ---- stimulus -----------------------------------------------------------------------------------------------------------------------------
