@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.iterate import cut
+
 KEYS = ["rec", "ch"]
 
 
@@ -110,39 +112,38 @@ def biorthogonal_1_5(levels: int = 8) -> tuple[np.ndarray, float]:
 def detect_by_wavelet(samples: DataFrame, fs: float, cost: float = 0.0, widths_ms=(0.4, 0.5, 0.6, 0.7, 0.8), frames: int = 100_000) -> DataFrame:
     """(rec, ch, frame): centres of runs of frames that pass the Bayesian threshold at some scale.
 
-    The noise level of each scale comes from the whole channel chunk; runs less than 0.1 ms apart are one event."""
+    Coefficients come by chunks of `frames` frames and are written; noise level, mean and share of large ones are those of the whole
+    channel at each scale. Runs at most 0.1 ms apart are one event."""
     psi, step = biorthogonal_1_5()
     scales = [w * fs / 1000 for w in widths_ms]
     halo = int(max(scales) * 12) + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        v, n = pdf["v"].to_numpy(float), len(pdf)
-        hit = np.zeros(n, bool)
-        for a in scales:
-            c = wavelet_coefficients(v, a, psi, step)
-            sub = c[:: max(1, round(a))]
-            sigma = np.median(np.abs(sub - c.mean())) / 0.6745
-            th = sigma * math.sqrt(2 * math.log(max(2, n)))
-            big = np.abs(c) > th
-            m, p = (np.abs(c[big]).mean(), big.mean()) if big.any() else (th, 1 / n)
-            if m <= 0 or p >= 1:
-                continue
-            d = m / 2 + sigma**2 / m * (cost * 36.7368 + math.log((1 - p) / p))
-            hit |= c > (abs(d) if d >= 0 else 0)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(int), [0]])))
-        begin, end = edge[::2], edge[1::2] - 1
-        gap, out = max(1, round(0.0001 * fs)), []
-        for b, e in zip(begin, end):
-            if out and b - out[-1][1] <= gap:
-                out[-1][1] = e
-            else:
-                out.append([b, e])
-        at = np.array([(b + e) // 2 for b, e in out], int)
-        pdf = pdf.iloc[at]
-        return pdf.loc[pdf["own"], [*KEYS, "frame"]]
-
-    return chunked(samples.select(*KEYS, "frame", F.col("v").cast("double").alias("v")), frames, halo).groupBy(*KEYS, "chunk").applyInPandas(run, f"{_kinds(samples, KEYS)}, frame long")
+        v, own = pdf["v"].to_numpy(float), pdf["own"].to_numpy(bool)
+        out = pdf.loc[own, [*KEYS, "frame"]]
+        c = np.stack([wavelet_coefficients(v, a, psi, step)[own] for a in scales], axis=1)
+        out["c"] = pd.Series(c.tolist(), index=out.index, dtype=object)  # a chunk past the end may hold halo only
+        return out
+
+    s = samples.select(*KEYS, "frame", F.col("v").cast("double").alias("v"))
+    c = cut(chunked(s, frames, halo).groupBy(*KEYS, "chunk").applyInPandas(run, f"{_kinds(samples, KEYS)}, frame long, c array<double>"))
+    at, by = c.select(*KEYS, "frame", F.posexplode("c").alias("scale", "c")), [*KEYS, "scale"]
+    every = F.element_at(F.array(*[F.lit(max(1, round(a))) for a in scales]), F.col("scale") + 1)
+    whole = at.groupBy(*by).agg(F.avg("c").alias("mu"), F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"))
+    sub = at.join(whole, by).filter((F.col("frame") - F.col("first")) % every == 0)
+    level = sub.groupBy(*by, "n").agg((F.percentile(F.abs(F.col("c") - F.col("mu")), F.lit(0.5)) / 0.6745).alias("sigma"))
+    level = level.withColumn("th", F.col("sigma") * F.sqrt(2 * F.ln(F.greatest("n", F.lit(2)))))
+    big = F.abs("c") > F.col("th")
+    stat = at.join(level, by).groupBy(*by, "n", "sigma", "th").agg(F.avg(F.when(big, F.abs("c"))).alias("m"), F.count(F.when(big, True)).alias("big"))
+    m, p = F.coalesce("m", "th"), F.when(F.col("big") > 0, F.col("big") / F.col("n")).otherwise(1 / F.col("n"))
+    d = m / 2 + F.col("sigma") * F.col("sigma") / m * (F.lit(cost * 36.7368) + F.ln((1 - p) / p))
+    limits = stat.filter((m > 0) & (p < 1)).select(*by, F.greatest(d, F.lit(0.0)).alias("limit"))
+    hit = at.join(limits, by).filter(F.col("c") > F.col("limit")).select(*KEYS, "frame").distinct()
+    w, gap = Window.partitionBy(*KEYS).orderBy("frame"), max(1, round(0.0001 * fs))
+    new = F.coalesce((F.col("frame") - F.lag("frame").over(w) > gap).cast("int"), F.lit(1))
+    runs = hit.withColumn("new", new).withColumn("event", F.sum("new").over(w))
+    return runs.groupBy(*KEYS, "event").agg(F.floor((F.min("frame") + F.max("frame")) / 2).alias("frame")).select(*KEYS, "frame")
 
 
 def detect(samples: DataFrame, fs: float, multipliers=(4.0, 5.0), wavelet: bool = True, refractory_ms: float = 2.0, recordings: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,11 @@
 """Levels, ranks and detours beyond the caps that operators once had."""
 
 import itertools
+import math
 
-from axonlake.operators import graph_extra, kernels, network
+import numpy as np
+
+from axonlake.operators import graph_extra, kernels, network, signal
 
 
 def test_rich_club_has_every_level(spark):
@@ -33,3 +36,40 @@ def test_nmf_sweeps_to_the_channels(spark):
     rows = [("a", ch, b, 100) for ch in range(12) for b in range(36)] + [("a", ch, 36 + 3 * ch + i, 20) for ch in range(12) for i in range(3)]
     got = kernels.nmf_components(spark.createDataFrame(rows, "rec string, ch long, bin long, n long")).collect()
     assert [r.rec for r in got] == ["a"] and got[0].components > 10
+
+
+def plain_events(v, fs, widths_ms=(0.4, 0.5, 0.6, 0.7, 0.8)):
+    """The decision of detect_by_wavelet over one whole channel."""
+    psi, step = signal.biorthogonal_1_5()
+    hit = np.zeros(len(v), bool)
+    for a in (w * fs / 1000 for w in widths_ms):
+        c = signal.wavelet_coefficients(v, a, psi, step)
+        sigma = np.median(np.abs(c[:: max(1, round(a))] - c.mean())) / 0.6745
+        th = sigma * math.sqrt(2 * math.log(len(v)))
+        big = np.abs(c) > th
+        m, p = (np.abs(c[big]).mean(), big.mean()) if big.any() else (th, 1 / len(v))
+        hit |= c > max(0.0, m / 2 + sigma**2 / m * math.log((1 - p) / p))
+    runs = []
+    for f in np.flatnonzero(hit):
+        if runs and f - runs[-1][1] <= max(1, round(0.0001 * fs)):
+            runs[-1][1] = f
+        else:
+            runs.append([f, f])
+    return [int(b + e) // 2 for b, e in runs]
+
+
+def test_wavelet_events_do_not_depend_on_the_chunk(spark):
+    rng = np.random.RandomState(4)
+    want, rows = {}, []
+    for ch in range(2):
+        v = rng.randn(3000) * np.where(np.arange(3000) < 1500, 0.3, 3.0)
+        for at in rng.randint(50, 2950, 25):
+            v[at : at + 5] += 25 * (ch + 1)
+            v[at + 5 : at + 10] -= 25 * (ch + 1)
+        want[ch] = plain_events(v, 12500.0)
+        rows += [("a", ch, i, float(x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "rec string, ch long, frame long, v double").cache()
+    for frames in (400, 1500, 100_000):
+        got = signal.detect_by_wavelet(df, 12500.0, frames=frames).collect()
+        assert {ch: sorted(r.frame for r in got if r.ch == ch) for ch in want} == want
+    assert all(len(x) > 5 for x in want.values())
