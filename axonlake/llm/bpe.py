@@ -72,10 +72,10 @@ class Vocabulary:
             self.merged.append(model["vocab"][a + b])
         self.longest = max(map(len, self.bytes))
         self.id_of = {b: i for i, b in enumerate(self.bytes) if b and b.decode("utf-8", "replace") not in self.special}
-        self.ending: dict[bytes, int] = {}  # longest token that ends with these three bytes
+        self.ending: dict[bytes, int] = {}  # longest token that ends with these four bytes
         for b in self.id_of:
-            if len(b) > 2:
-                self.ending[b[-3:]] = max(self.ending.get(b[-3:], 0), len(b))
+            if len(b) > 3:
+                self.ending[b[-4:]] = max(self.ending.get(b[-4:], 0), len(b))
         self.fits = _Cache(self._fits, 300_000)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
@@ -188,7 +188,7 @@ class PieceTransducer:
             last.append(t)
             i += 1
         while i <= n:
-            at = i - ending.get(held[i - 3 : i], 2) if i > 2 else 0
+            at = i - ending.get(held[i - 4 : i], 3) if i > 3 else 0
             if at < 0:
                 at = 0
             while (t := get(held[at:i])) is None or not fits[last[at], t]:
