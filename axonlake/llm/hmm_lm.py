@@ -10,8 +10,8 @@ a word never seen in training the share of the class's words seen once. So param
 times the states at any corpus size, while every word keeps its own count: rarer words than `table_share` are looked up by a join on the
 word, not by a broadcast table.
 
-Scale: word counts are summed in the tasks before the shuffle; the join side of rare words has no hot key by construction; symbols of all
-documents are written once to the shared folder and each iteration streams them.
+Scale: word counts are summed in the tasks before the shuffle; rare words are joined on the word, which is rare in what was learned but may
+be common elsewhere (another language), and then adaptive execution splits it; symbols of all documents are written once to the shared folder and each iteration streams them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read_table, stage_table, text_bytes
+from .common import crc_mod, only_result, read_table, stage_table, text_bytes
 
 END = b""  # no word is empty
 SUFFIX = 3
@@ -281,18 +281,24 @@ def score_texts(docs: DataFrame, learn: Column, cfg: Settings = Settings(), id_c
     fitted = sc.broadcast(model)
 
     def score(batches):
-        for got, seqs in _groups(batches, 1, cfg.group_tokens):
-            ll = forward(seqs, fitted.value)
-            uid = np.array([b.column(0)[i].as_py() for b, i in got], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(ll)], ["uid", "path"])
-
-    paths = coded.select("uid", "sym").mapInArrow(score, "uid long, path double")
-    out = coded.select("id", "learn", "uid", "n_tokens", "n_known", "base", "inside").join(paths, "uid").join(rare, "uid", "left")
+        for got, seqs in _groups(batches, 0, cfg.group_tokens):
+            ll, parts = forward(seqs, fitted.value), {}
+            for j, (b, i) in enumerate(got):  # the rows' other columns go on in the same batch
+                parts.setdefault(id(b), (b, [], []))[1].append(i)
+                parts[id(b)][2].append(j)
+            for b, rows_, order in parts.values():
+                own = b.take(pa.array(rows_, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns[1:], pa.array(ll[order])], [*own.schema.names[1:], "path"])
+
+    kept = ["id", "learn", "uid", "n_tokens", "n_known", "base", "inside"]
+    scored = coded.select("sym", *kept).mapInArrow(score, f"id {kind}, learn boolean, uid long, n_tokens long, n_known long, base double, inside double, path double")
+    out = scored.join(rare, "uid", "left")
     zero = F.lit(0.0)
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), (~F.col("learn")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known_", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_", zero)).alias("base_score"), (F.col("path") + F.col("inside") + F.coalesce("inside_", zero)).alias("score"),
     )
+    return only_result(out, "hmm-scores", counts, coded)
 
 
 def suffix_class(word: Column, cfg: Settings) -> Column:
@@ -331,7 +337,8 @@ def _lexicon(counts: DataFrame, n: int, v: int, cfg: Settings):
 
 
 def op1_hmm_score(spark, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty texts are one end; a null doc_id
+    counts as empty text in the split; repeated rows are rows of their own."""
     return score_texts(read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) != 0)
 
 

@@ -2,12 +2,18 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear layer over the mean gives the languages. Once trained, the
 product of both matrices is one table (buckets x languages), so a prediction is a gather and a mean over the whole text.
-Probabilities are calibrated by a temperature fitted on rows left out of training, and a text is rejected if its calibrated
-probability falls below a threshold set on the same rows.
+
+Rejection is calibrated on rows left out of training, in two ways. The softmax only compares the languages with each other, so its
+probability, scaled by a fitted temperature, rejects what lies between them. Whether a text is of any of them is told by its subwords:
+three-character sequences that the training rows of the predicted language did not contain. Their share in left-out rows and their share
+in the same rows with all letters shuffled are taken, and the geometric mean of both is the share that still counts as normal. A text is
+rejected if it has more than that by a margin of `deviations` standard deviations for its length, so that one odd word does not reject a
+short text.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_ngram_hashes, crc_mod, read_table
 
-ORDERS, STRETCH = (3, 4), 1 << 20
+ORDERS, STRETCH, KNOWN_BITS = (3, 4), 1 << 20, 20
 _letter = regex.compile(r"\p{L}").search
+_not_letters = re.compile(r"[\W\d_]+").sub
 
 
 @dataclass
@@ -29,6 +36,19 @@ class LanguageModel:
     bits: int
     temperature: float
     reject_below: float
+    known: np.ndarray  # languages x KNOWN_BITS buckets: whether a training row has such a sequence
+    strange: float  # share of unknown sequences that is still normal
+
+    def unknown_shares(self, text: str, language: int) -> tuple[int, int]:
+        """(sequences of the text, those unknown in the language); the text is taken in stretches."""
+        n = missing = 0
+        for h in _sequences(text):
+            n += len(h)
+            missing += len(h) - int(np.count_nonzero(self.known[language][h]))
+        return n, missing
+
+    def is_strange(self, n: int, missing: int, deviations: float = 3.0) -> bool:
+        return missing > n * self.strange + deviations * (n * self.strange * (1 - self.strange)) ** 0.5
 
 
 def _features(text: str, bits: int):
@@ -38,6 +58,15 @@ def _features(text: str, bits: int):
             yield byte_ngram_hashes(data[at : at + STRETCH + n - 1], n, bits)
 
 
+def _sequences(text: str):
+    """Hashed three-character sequences; white space and anything but letters count as one space."""
+    text = " " + _not_letters(" ", text.lower()) + " "
+    for at in range(0, len(text), STRETCH):
+        a = np.frombuffer(text[at : at + STRETCH + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+        h = (a[:-2] * np.uint32(0x9E3779B1)) ^ (a[1:-1] * np.uint32(0x85EBCA77)) ^ (a[2:] * np.uint32(0xC2B2AE3D))
+        yield (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - KNOWN_BITS)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -48,7 +77,7 @@ def fit(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, epoc
     languages = sorted(set(labels))
     k, rng = len(languages), np.random.RandomState(seed)
     if k == 0:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), bits, 1.0, 0.5)
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), bits, 1.0, 0.5, np.zeros((0, 1 << KNOWN_BITS), bool), 0.0)
     rows = []
     for t in texts:
         h = np.concatenate(list(_features(t, bits)))
@@ -74,7 +103,20 @@ def fit(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, epoc
     seen = held if held.any() else ~held
     best, conf = min(((-np.log(_softmax(logits[seen] / t)[np.arange(seen.sum()), y[seen]] + 1e-12).mean(), t) for t in (0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4)), key=lambda p: p[0])[1], None
     conf = _softmax(logits[seen] / best).max(axis=1)
-    return LanguageModel(languages, table.astype(np.float32), bias, bits, float(best), float(min(0.5, np.quantile(conf, 0.001))))
+    known = np.zeros((k, 1 << KNOWN_BITS), bool)
+    for i in train:
+        for h in _sequences(texts[i]):
+            known[y[i]][h] = True
+    m = LanguageModel(languages, table.astype(np.float32), bias, bits, float(best), float(min(0.5, np.quantile(conf, 0.001))), known, 0.0)
+    own, mixed = [0.0], [1.0]
+    for i in np.flatnonzero(seen) if held.any() else ():
+        n, missing = m.unknown_shares(texts[i], y[i])
+        if n >= 50:
+            own.append(missing / n)
+            n, missing = m.unknown_shares("".join(rng.permutation(list(texts[i]))), y[i])
+            mixed.append(missing / n if n else 1.0)
+    m.strange = float(np.sqrt(max(0.01, np.quantile(own, 0.999)) * np.quantile(mixed, 0.01)))
+    return m
 
 
 def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000, **options) -> LanguageModel:
@@ -93,7 +135,8 @@ def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (calibrated probability) and rejected added, in place of columns of those names.
+    """docs with lang_pred, score and rejected added, in place of columns of those names. The score is the calibrated probability, times
+    the share of known sequences where a text is rejected for unknown ones.
 
     Null and empty texts and texts without a letter are `und` with score 0, and rejected; so is everything if nothing was learned.
     """
@@ -116,7 +159,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
                 n += len(h)
             p = _softmax((total / max(1, n) + m.bias) / m.temperature)
             best = int(p.argmax())
-            out.append((m.languages[best], float(p[best]), bool(p[best] < m.reject_below)))
+            n, missing = m.unknown_shares(t, best)
+            strange = m.is_strange(n, missing)
+            out.append((m.languages[best], float(p[best]) * (1 - missing / n if strange else 1), bool(strange or p[best] < m.reject_below)))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return docs.select(*kept, judge(text_col).alias("__l")).select(*kept, "__l.*")
@@ -127,7 +172,8 @@ def learning_rows(id_col: str = "doc_id") -> Column:
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, held_out, lang_pred, score, rejected."""
+    """Every document: doc_id, held_out, lang_pred, score, rejected. Null and empty texts and texts without a letter are und with score 0 and
+    rejected; ties go to the language first in alphabetical order; repeated rows are rows of their own."""
     docs = read_table(spark, sf_dir, "documents")
     model = train_language_model(docs.filter(learning_rows()))
     out = predict_language(docs.select("doc_id", "text", (~learning_rows()).alias("held_out")), model)

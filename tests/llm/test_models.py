@@ -77,8 +77,53 @@ def test_scores_match_brute_force_counts(spark, share):
         base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         want.append((str(r.doc_id), not learn(r.doc_id), len(w), sum(counts[x] > 0 for x in w), n, round(base, 5)))
     assert sorted((str(g.doc_id), g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 5)) for g in got) == sorted(want)
-    assert all(math.isfinite(g.score) and g.score < 0 for g in got)
     assert sum(g.score for g in got) > sum(g.base_score for g in got)
+    want = Counter((str(r.doc_id), round(s, 1)) for r, s in zip(rows, plain_scores([(tokens(r.text), learn(r.doc_id)) for r in rows], cfg)))
+    near = lambda a, b: abs(a - b) < 2e-3 * abs(b) + 0.01
+    scores = sorted((str(g.doc_id), g.score) for g in got)
+    assert all(i == j and near(a, b) for (i, a), (j, b) in zip(scores, sorted(want.elements())) if abs(b) > 50)
+
+
+def plain_scores(texts, cfg):
+    """The model from its definition, one text and one step at a time."""
+    counts = Counter(w for ws, known in texts if known for w in ws)
+    n = sum(counts.values())
+    own = [b""] + sorted((w for w, c in counts.items() if w and c >= math.ceil(cfg.symbol_share * n)), key=lambda w: (-counts[w], w))
+    cls = lambda w: zlib.crc32(w[-3:]) % cfg.suffix_classes
+    size, once = np.zeros(cfg.suffix_classes), np.zeros(cfg.suffix_classes)
+    for w, c in counts.items():
+        if w not in own:
+            size[cls(w)] += c
+            once[cls(w)] += c == 1
+    total = size + once + 0.5
+    symbol = lambda w: own.index(w) if w in own else len(own) + cls(w)
+    inside = lambda w: 0.0 if w in own else math.log10((counts[w] or once[cls(w)] + 0.5) / total[cls(w)])
+    share = np.concatenate([[max(counts[w], 0.5) for w in own], total])
+    share /= share.sum()
+    k = cfg.states
+    emit = share[:, None] * np.exp(0.7 * np.random.RandomState(cfg.seed).normal(size=(len(share), k)))
+    m = hmm_lm.Model(np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), emit / emit.sum(axis=0))
+    seqs = [[symbol(w) for w in ws] for ws, _ in texts]
+    for _ in range(cfg.iterations):
+        first, moved, emitted = np.full(k, 0.1), np.full((k, k), 0.1), cfg.prior_tokens * np.repeat(share[:, None], k, axis=1)
+        for seq, (_, known) in zip(seqs, texts):
+            if not known:
+                continue
+            al, be, t_ = np.zeros((len(seq), k)), np.ones((len(seq), k)), len(seq)
+            for t in range(t_):
+                al[t] = (al[t - 1] @ m.step if t else m.start) * m.emit[seq[t]]
+                al[t] /= al[t].sum()
+            for t in range(t_ - 2, -1, -1):
+                be[t] = m.step @ (m.emit[seq[t + 1]] * be[t + 1])
+                be[t] /= be[t].sum()
+                x = al[t][:, None] * m.step * (m.emit[seq[t + 1]] * be[t + 1])[None]
+                moved += x / x.sum()
+            g = al * be
+            g /= g.sum(1, keepdims=True)
+            first += g[0]
+            np.add.at(emitted, seq, g)
+        m = hmm_lm.Model(first / first.sum(), moved / moved.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0))
+    return [plain_likelihood(seq, m) + sum(map(inside, ws)) for seq, (ws, _) in zip(seqs, texts)]
 
 
 def test_model_is_a_distribution_over_words(spark):
@@ -114,6 +159,9 @@ def test_language_model(spark):
             assert r.lang_pred in model.languages and 0 <= r.score <= 1
     fresh = spark.createDataFrame([(i, data.prose(lang, 25, 5000 + i), lang) for i in range(60) for lang in ("en", "de")], "doc_id long, text string, lang string")
     assert langid.predict_language(fresh, model).filter("lang = lang_pred and not rejected").count() == 120
+    strange = ["これは日本語の文章です。今日は天気がいいですね。", "qwx zzkq pffr xkcd vvjq wwzx", "Zxq", "привет как дела сегодня", "".join(sorted(data.prose("en", 30, 1).replace(" ", ""))), "glpvq wrtz xxkcd bvvnm qjjz"]
+    far = langid.predict_language(spark.createDataFrame([(t,) for t in strange], "text string"), model).collect()
+    assert all(r.rejected and r.lang_pred in model.languages for r in far), far
     none = langid.train_language_model(data.empty(spark))
     assert langid.predict_language(docs, none).filter("lang_pred <> 'und'").count() == 0
 
