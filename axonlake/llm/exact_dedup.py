@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table
+from .common import drop_staged, only_result, read_table, stage_table
 
 
 def msd_radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_width: int = 256, growth: int = 16) -> DataFrame:
@@ -30,31 +30,36 @@ def msd_radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("first_width must be at least 1 and growth at least 2")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     left = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("gid"), body.alias("rest"), F.unhex(F.sha2(body, 256)).alias("sha"))
-    width, done = first_width, []
+    width, round_, done, staged = first_width, 0, [], []
     while True:
         keyed = left.withColumns({"ended": F.octet_length("rest") <= width, "head": F.substring("rest", 1, width)})
         groups = keyed.groupBy("gid", "ended", "head").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
         groups = stage_table(groups.filter("n > 1").withColumn("next_gid", F.monotonically_increasing_id()), "radix-groups")
-        joined = keyed.join(groups, ["gid", "ended", "head"], "left")
+        joined = keyed.join(groups.hint("merge"), ["gid", "ended", "head"], "left")  # heads may be long, so groups are never broadcast
         open_ = F.col("n").isNotNull() & ~F.col("ended")
         joined = joined.select(
             "id", "sha", open_.alias("open"), F.col("next_gid").alias("gid"), F.coalesce("n", F.lit(1)).alias("n"),
             F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
-            F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+            F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.monotonically_increasing_id().alias("uid"),
         )
         joined = stage_table(joined, "radix-rows")
-        done.append(joined.filter("not open").select("id", "keep", "n", "sha"))
+        drop_staged(groups)
+        staged.append(joined)
+        done.append(joined.filter("not open").select("id", "keep", "n", "sha", F.lit(round_).alias("round"), "gid", "uid"))
         left = joined.filter("open").select("id", "gid", "rest", "sha")
         if left.isEmpty():
             break
         width *= growth
+        round_ += 1
     rows = reduce(DataFrame.unionByName, done)
-    keepers = rows.filter(F.col("id").eqNullSafe(F.col("keep")))
-    one = F.row_number().over(Window.partitionBy("id", "sha").orderBy("n")) == 1  # rows that repeat id and text
-    alone, shared = keepers.filter("n = 1").withColumn("kept", F.lit(True)), keepers.filter("n > 1").withColumn("kept", one)
-    rest = rows.filter(~F.col("id").eqNullSafe(F.col("keep"))).withColumn("kept", F.lit(False))
-    out = alone.unionByName(shared).unionByName(rest)
-    return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    largest = F.col("id").eqNullSafe(F.col("keep"))
+    # Rows of a group that hold its largest id: one of them stays. Each task reduces its own first, so that even a group of nothing but
+    # repeats of one row passes a row per task only.
+    stays = rows.filter((F.col("n") > 1) & largest).groupBy("round", "gid").agg(F.min("uid").alias("uid_")).select(F.col("round").alias("round_"), "uid_")
+    marked = rows.join(stays.hint("merge"), (F.col("n") > 1) & (F.col("round") == F.col("round_")) & (F.col("uid") == F.col("uid_")), "left")
+    out = marked.withColumn("kept", (F.col("n") == 1) | F.col("uid_").isNotNull())
+    out = out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return only_result(out, "radix-result", *staged)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,20 +69,19 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     dropped = msd_radix_groups(docs, id_col, text_col).filter("not kept")
     copies = dropped.filter(~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
-    twice = dropped.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id2"), F.unhex("text_sha256").alias("__sha2")).distinct()
+    twice = dropped.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
     sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    kept = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    kept = docs.join(copies, same, "left_anti")
     if twice.isEmpty():
         return kept
-    marked = kept.join(twice, F.col(id_col).eqNullSafe(F.col("__id2")) & (sha == F.col("__sha2")), "left")
-    rank = F.row_number().over(Window.partitionBy("__id2", "__sha2").orderBy(F.lit(1)))
-    return kept.join(twice, F.col(id_col).eqNullSafe(F.col("__id2")) & (sha == F.col("__sha2")), "left_anti").unionByName(
-        marked.filter("__sha2 is not null").withColumn("__rn", rank).filter("__rn = 1").select(*docs.columns)
-    )
+    one = kept.join(twice, same).groupBy("__id", "__sha").agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")  # each task keeps one of its own first
+    return kept.join(twice, same, "left_anti").unionByName(one)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every row of documents: doc_id, keep_id, group_size, kept, text_sha256."""
+    """Every row of documents: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty; of rows that repeat id and text one
+    is kept; a null doc_id is smaller than any other."""
     return msd_radix_groups(read_table(spark, sf_dir, "documents"))
 
 

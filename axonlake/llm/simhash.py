@@ -8,9 +8,12 @@ The range join: the 32 coordinates form eight blocks of four. Points within dist
 blocks, so each point is put into the 70 grids made of four blocks, and only points of one grid cell are compared. A pair is
 compared in the first grid that it shares, first by the lower bound and then by the exact Hamming distance.
 
-Large cells: pairs of a cell that holds more than `cell_limit` fingerprints are not listed. Its members are linked through
-midpoints instead: two fingerprints differ in at most four bits exactly if some 64-bit value is within two bits of both, so members
-that share such a value are linked to its least member. That is linear in the members, exact, and loses no link between classes.
+Large cells: a cell of more than `cell_limit` fingerprints is parted further by the exact bits of its four blocks, since a pair at
+distance four or less has at least four of its eight bytes in common. A pair is therefore listed in the grid of the four lowest bytes that
+agree bit for bit, which its cell and its part of a large cell both contain. What stays larger than the limit even so is linked through
+midpoints: two fingerprints are within d bits of each other exactly if some 64-bit value is within floor(d/2) bits of one and ceil(d/2)
+bits of the other, so all members within ceil(d/2) of a value are linked to the least member within floor(d/2) of it, if there is one.
+That is linear in the members, exact for every d, and loses no link between classes.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stage_table, text_bytes
+from .common import only_result, read_table, stage_table, text_bytes
 from .components import connected_components
 
 BLOCKS, AGREE = 8, 4
 GRIDS = list(combinations(range(BLOCKS), AGREE))
-#: By the set of blocks on which a pair agrees: the first grid made of four of them (that of the four lowest), or -1.
+#: By the set of bytes on which a pair agrees: the first grid made of four of them (that of the four lowest), or -1.
 FIRST_GRID = [GRIDS.index(tuple(on[:AGREE])) if len(on := [b for b in range(BLOCKS) if mask >> b & 1]) >= AGREE else -1 for mask in range(1 << BLOCKS)]
 EVEN_BITS = 0x5555555555555555
 
@@ -86,27 +89,33 @@ def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256) ->
     dealt = points.select("fp", "point", F.explode(cells).alias("c")).select("fp", "point", "c.grid", "c.cell")
     dealt = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grid", "cell"))).filter("n > 1")
     dealt = stage_table(dealt, "simhash-cells")
-    small, large = dealt.filter(F.col("n") <= cell_limit), dealt.filter(F.col("n") > cell_limit)
-    a, b = small.alias("a"), small.alias("b")
-    apart = F.col("a.point").bitwiseXOR(F.col("b.point"))
-    agreed = reduce(Column.bitwiseOR, (F.when(F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(255)) == 0, 1 << k).otherwise(0) for k in range(BLOCKS)))
-    first = F.element_at(F.array(*map(F.lit, FIRST_GRID)), agreed + 1)  # a pair is listed in the first grid it shares
-    near = (F.bit_count(apart) <= max_distance) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance)
+    exact = F.element_at(F.array(*(F.lit(_grid_mask(g)) for g in GRIDS)), F.col("grid") + 1).bitwiseAND(F.col("fp"))
+    parted = dealt.filter(F.col("n") > cell_limit).withColumn("cell", exact)
+    parted = parted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grid", "cell"))).filter("n > 1")
+    parted = stage_table(parted, "simhash-parts")
+    apart, differ = F.col("a.point").bitwiseXOR(F.col("b.point")), F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    agreed = reduce(Column.bitwiseOR, (F.when(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0, 1 << k).otherwise(0) for k in range(BLOCKS)))
+    first = F.element_at(F.array(*map(F.lit, FIRST_GRID)), agreed + 1)
+    near = (F.bit_count(apart) <= max_distance) & (F.bit_count(differ) <= max_distance)
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, same & near & (first == F.col("a.grid")))
-    pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+    def listed(members: DataFrame) -> DataFrame:
+        found = members.alias("a").join(members.alias("b"), same & near & (first == F.col("a.grid")))
+        return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+    pairs = listed(dealt.filter(F.col("n") <= cell_limit))
+    if parted.isEmpty():
+        return pairs
+    pairs = pairs.unionByName(listed(parted.filter(F.col("n") <= cell_limit)))
+    large = parted.filter(F.col("n") > cell_limit)
     if large.isEmpty():
         return pairs
-    # A pair whose first common cell is large was not listed: both are members of a large cell, and those are all linked by midpoints.
-    balls = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
-    balls = [x for x in balls if x.bit_count() <= (max_distance + 1) // 2]
-    if max_distance % 2:
-        raise ValueError("an odd max_distance has no exact midpoint rule for large cells; raise cell_limit")
-    flips = F.array(*(F.lit(_signed(x)) for x in balls))
+    flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
+    flips = F.array(*(F.struct(F.lit(_signed(x)).alias("x"), F.lit(x.bit_count()).alias("d")) for x in flips if x.bit_count() <= (max_distance + 1) // 2))
     members = stage_table(large.select("fp").distinct(), "simhash-large")
-    around = members.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("mid"))
-    root = around.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a < last").select("mid", "a")
-    linked = around.join(root, "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    around = members.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip.x")).alias("mid"), "flip.d")
+    root = around.filter(F.col("d") <= max_distance // 2).groupBy("mid").agg(F.min("fp").alias("a"))
+    linked = around.join(root, "mid").filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
     return pairs.unionByName(linked)
 
 
@@ -122,11 +131,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     whole = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = stage_table(named.join(whole, "part").select(F.col("fp").alias("fp_"), "component_id"), "fingerprint-names")
     out = fp.join(named, fp.fp == named.fp_)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return only_result(out, "simhash-classes", fp, classes, parts, named)
 
 
 def op3_simhash_neardup(spark, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, fingerprint, component_id."""
+    """Every document: doc_id, fingerprint, component_id. Null and empty texts have fingerprint zero and link like any other; repeated rows
+    are rows of their own; a null doc_id is never a component_id unless all ids of the component are null."""
     return near_duplicate_classes(read_table(spark, sf_dir, "documents"))
 
 

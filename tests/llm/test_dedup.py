@@ -93,9 +93,14 @@ def test_links_and_components_match_brute_force(spark):
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     want = brute_components(fps)
     linked = {f for f in fps if sum(want[g] == want[f] for g in fps) > 1}
-    for limit in (256, 4):  # a low limit sends dense cells through midpoints
+    for limit in (256, 4, 2):  # a low limit parts dense cells by their exact bits and sends what stays dense through midpoints
         got = {x.node: x.component for x in components.connected_components(simhash.near_links(df, 4, limit)).collect()}
         assert set(got) == linked and all(got[f] == want[f] for f in linked)
+    for distance, limit in ((3, 1), (1, 1)):
+        want = brute_components(fps, distance)
+        linked = {f for f in fps if sum(want[g] == want[f] for g in fps) > 1}
+        got = {x.node: x.component for x in components.connected_components(simhash.near_links(df, distance, limit)).collect()}
+        assert set(got) == linked and all(got[f] == want[f] for f in linked)
 
 
 def test_near_duplicate_classes(spark):
