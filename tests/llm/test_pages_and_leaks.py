@@ -70,6 +70,52 @@ def test_extraction(spark):
     assert html_extract.extract_text(pages.limit(0), {}).count() == 0
 
 
+STONE = "<p>" + "stone water river light house " * 8 + "</p>"
+
+
+def body(inner):
+    return f"<html><body><nav><a href=x>home</a></nav>{inner}<footer>foot words here</footer></body></html>"
+
+
+@pytest.mark.parametrize("inner, text", [
+    ('<div class="article-header"><h1>Big headline here</h1></div>' + STONE, "Big headline here\nS"),
+    ("<h1>T</h1>" + STONE + '<p class="legal">legal words stay</p>' + STONE, "T\nS\nlegal words stay\nS"),
+    ("<h1>T</h1>" + STONE + '<h2 class="social">Social policy</h2>' + STONE, "T\nS\nSocial policy\nS"),
+    ("<h1>T</h1><p>x <math><mi>a</mi>=b</math> y</p>" + STONE, "T\nx a=b y\nS"),
+    ("<h1>T</h1>" + STONE + "<p><b title=x'y>bold</b> after</p>" + STONE, "T\nS\nbold after\nS"),
+    ("<h1>T</h1>" + STONE + '<div class="ad-banner">buy now cheap</div>' + STONE, "T\nS\nS"),
+    ("<h1>T</h1>" + STONE + '<div class="comments"><p>nice post really good</p></div>', "T\nS"),
+    ("<h1>T</h1>" + STONE + "<aside>related</aside>" + STONE + "<form><p>sign up now</p></form>", "T\nS\nS"),
+    ("<h1>T a</h1><p>3 < 4 and a &lt; b &amp;c</p>" + STONE, "T a\n3 < 4 and a < b &c\nS"),
+])
+def test_what_stays_and_goes_without_a_named_article(inner, text):
+    assert html_extract.extract(body(inner), {}).replace(("stone water river light house " * 8).strip(), "S") == text
+
+
+def test_weights_decide(spark):
+    """Class tokens that no prior knows are learned from pages that name their article, and decide on pages that do not."""
+    box = '<div class="zugabe">' + "extra words of no use " * 4 + "</div>"
+    rows = [(i, body(box + f"<article><h1>Title {i}</h1>{STONE}</article>" + box)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    learned, fresh = html_extract.learn_weights(pages), body(STONE + box + STONE)
+    assert learned["class zugabe"] == -3.0 and "tag article" not in learned
+    assert "extra" not in html_extract.extract(fresh, learned) and "extra" in html_extract.extract(fresh, {})
+    flat = {k: 1.0 if k.startswith("word") else 0.0 for k in learned} | {k: 0.0 for k in html_extract.PRIORS}
+    assert "extra" in html_extract.extract(fresh, flat) and "foot" in html_extract.extract(fresh, flat)
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<b>x", "<a href='x", "<!--", "<script", "<p><b>", '<div class="ad">', "</b", "<"])
+def test_time_is_linear_in_markup(unit):
+    import time
+
+    took = []
+    for k in (20_000, 80_000):
+        began = time.process_time()
+        html_extract.extract(unit * k, {})
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("body, text", [
     ("<main><p>One two three four.</p><p>Five six.</p></main><div id=sidebar><p>no no no no no no</p></div>", "One two three four.\nFive six."),
     ("<div class=content><h2>Head of it</h2><p>Some words in a text.</p></div><div class='share-buttons'><p>Share this with friends now</p></div>", "Head of it\nSome words in a text."),
