@@ -73,7 +73,11 @@ def text_bytes(value) -> bytes:
 
 def byte_ngram_hashes(data: bytes, n: int, bits: int, salt: int = 0) -> np.ndarray:
     """Hash of every window of n bytes, as indices below 2**bits."""
-    a = np.frombuffer(data, np.uint8)
+    return ngram_hashes(np.frombuffer(data, np.uint8), n, bits, salt)
+
+
+def ngram_hashes(a: np.ndarray, n: int, bits: int, salt: int = 0) -> np.ndarray:
+    """Hash of every window of n units (bytes or code points), as indices below 2**bits."""
     m = len(a) - n + 1
     if m <= 0:
         return np.empty(0, np.uint32)

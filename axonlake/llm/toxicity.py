@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_ngram_hashes, crc_mod, drop_staged, read_table, stage_table
+from .common import crc_mod, drop_staged, ngram_hashes, read_table, stage_table
 
 ORDERS, STRETCH, FOLDS = (4, 5, 6, 7), 1 << 20, 3
 
@@ -29,10 +29,10 @@ class ToxicityModel:
 
 def _distinct(text: str, bits: int, keep: np.ndarray | None = None) -> np.ndarray:
     """Buckets of the n-grams of a text, each once; only those where keep is true."""
-    data, parts = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").split()) + b" ", []
-    for at in range(0, len(data), STRETCH):
+    units, parts = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), "<u4"), []
+    for at in range(0, len(units), STRETCH):
         for n in ORDERS:
-            h = byte_ngram_hashes(data[at : at + STRETCH + n - 1], n, bits)
+            h = ngram_hashes(units[at : at + STRETCH + n - 1], n, bits)
             parts.append(h if keep is None else h[keep[h]])
     return np.unique(np.concatenate(parts))
 
@@ -93,22 +93,27 @@ def fit_scale(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if np.isfinite(at).all() and at[0] > 0 else (1.0, 0.0)
 
 
-def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_texts: int = 5, least_ratio: float = 1.8, fit_rows: int = 8000) -> ToxicityModel:
+#: Settings among which cross-validation chooses: least size of a ratio, decay of the regression.
+SETTINGS = ((1.0, 1e-2), (1.8, 1e-2), (1.8, 1e-3))
+
+
+def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_texts: int = 5, settings: tuple = SETTINGS, fit_rows: int = 8000) -> ToxicityModel:
     """Fit on columns (id, text, toxic 0/1). Ratios count every row; the regression uses at most about fit_rows rows, drawn by a hash of
     the id (the documented bound of the fit). N-grams in fewer than least_texts texts, however many texts there are, or with a ratio below
-    least_ratio in size, weigh nothing. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
+    the least in size, weigh nothing. Of the settings the one with the least log loss on rows left out is taken, by cross-validation over
+    rows given here alone. Without rows of both classes every score is the share of toxic rows (one half without rows)."""
     counts = stage_table(count_ngrams(labelled, bits), "toxicity-counts")
     total = counts.filter("bucket < 0").first()
     toxic, clean = (total["toxic"], total["clean"]) if total else (0, 0)
     ratio = F.ln((F.col("toxic") + 1) / F.lit(toxic + 2)) - F.ln((F.col("clean") + 1) / F.lit(clean + 2))
-    got = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= least_texts) & (F.abs(ratio) >= least_ratio)).toPandas()  # at most 2**bits rows
+    least = min(x for x, _ in settings)
+    got = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") + F.col("clean") >= least_texts) & (F.abs(ratio) >= least)).toPandas()  # at most 2**bits rows
     drop_staged(counts)
     if not toxic or not clean:
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log((toxic + 1) / (clean + 1))), bits)
     n = np.zeros((2, 1 << bits), np.int64)
     n[1][got.bucket.to_numpy()], n[0][got.bucket.to_numpy()] = got.toxic.to_numpy(), got.clean.to_numpy()
-    r = log_ratios(n[1], n[0], (toxic, clean), least_texts, least_ratio)
-    keep = labelled.sparkSession.sparkContext.broadcast(r != 0)
+    keep = labelled.sparkSession.sparkContext.broadcast(log_ratios(n[1], n[0], (toxic, clean), least_texts, least) != 0)
     grain = 1_000_000
 
     def run(batches):
@@ -121,23 +126,33 @@ def train_toxicity_model(labelled: DataFrame, bits: int = 20, least_texts: int =
     sample = drawn.select("text", F.col("toxic").cast("int"), fold.alias("fold")).mapInArrow(run, "at binary, toxic int, fold int").collect()
     sample.sort(key=lambda x: (bytes(x["at"]), x["toxic"], x["fold"]))
     rows, y, folds = [np.frombuffer(x["at"], "<u4") for x in sample], np.array([x["toxic"] for x in sample], float), np.array([x["fold"] for x in sample])
-    w, bias = fit_logistic(rows, y, r)
-    a, b = 1.0, 0.0
+    chosen, scale = settings[0], (1.0, 0.0)
     if 0 < y.sum() < len(y):
-        s = np.zeros(len(y))
-        for k in range(FOLDS):
-            out, seen = np.flatnonzero(folds == k), np.flatnonzero(folds != k)
-            m = n.copy()
-            for i in out:
-                m[int(y[i])][rows[i]] -= 1
-            left = log_ratios(m[1], m[0], (toxic - int(y[out].sum()), clean - int((1 - y[out]).sum())), least_texts, least_ratio)
-            v, c = fit_logistic([rows[i][left[rows[i]] != 0] for i in seen], y[seen], left)
-            weight = v * left
-            s[out] = [weight[rows[i]].sum() + c for i in out]
-        a, b = fit_scale(s, y)
+        tried = [(*cross_validate(rows, y, folds, n, (toxic, clean), least_texts, *x), x) for x in settings]
+        _, scale, chosen = min(tried, key=lambda t: t[0])
+    r = log_ratios(n[1], n[0], (toxic, clean), least_texts, chosen[0])
+    w, bias = fit_logistic([at[r[at] != 0] for at in rows], y, r, decay=chosen[1])
+    a, b = scale
     return ToxicityModel((a * w * r).astype(np.float32), a * bias + b, bits)
 
 
+def cross_validate(rows: list, y: np.ndarray, folds: np.ndarray, n: np.ndarray, texts: tuple[int, int], least_texts: int, least_ratio: float, decay: float):
+    """(log loss, scale) of the scores that rows get from models which have seen them neither in the ratios nor in the fit."""
+    s = np.zeros(len(y))
+    for k in range(FOLDS):
+        out, seen = np.flatnonzero(folds == k), np.flatnonzero(folds != k)
+        m = n.copy()
+        for i in out:
+            m[int(y[i])][rows[i]] -= 1
+        left = log_ratios(m[1], m[0], (texts[0] - int(y[out].sum()), texts[1] - int((1 - y[out]).sum())), least_texts, least_ratio)
+        v, c = fit_logistic([rows[i][left[rows[i]] != 0] for i in seen], y[seen], left, decay=decay)
+        weight = v * left
+        s[out] = [weight[rows[i]].sum() + c for i in out]
+    a, b = fit_scale(s, y)
+    p = np.clip(1 / (1 + np.exp(-np.clip(a * s + b, -30, 30))), 1e-6, 1 - 1e-6)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), (a, b)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) added, in place of a column of that name. Null and empty texts have the score of no n-gram at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -167,7 +182,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, held_out, score, predicted."""
+    """Every document: doc_id, held_out, score, predicted. Null and empty texts have the score of no n-gram at all; a null doc_id counts as
+    empty text in the split; repeated rows are rows of their own; of several labels of a document the highest counts."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(learning_rows())
     known = stage_table(labelled_texts(docs.filter(learning_rows()), labels), "toxicity-rows")
