@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="axonlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/axonlake-step-{uuid.uuid4().hex}"

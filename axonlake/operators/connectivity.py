@@ -72,6 +72,64 @@ def surrogate_trains(spikes: DataFrame, recordings: DataFrame, reps: int, fs: fl
     return s.select("rec", "ch", "rep", (circular_shift(F.round(F.col("t") * fs).cast("long"), by, F.col("n")) / fs).alias("t")).distinct()
 
 
+def surrogate_weights(spikes: DataFrame, recordings: DataFrame, dt: float, reps: int, fs: float, seed: int = 1, block: int = 10) -> DataFrame:
+    """(rec, src, dst, rep, w): positive tiling coefficients of `reps` surrogates, the shifts being those of surrogate_trains.
+
+    Trains are collected per channel once; a group is one recording's channels and `block` replicates, so that events are sent once for each
+    block and only coefficients come back. Inside a group coincidences are counted by sorted searches over whole samples.
+    """
+    r = recordings.select("rec", "rec_no", "duration_s", F.round(F.col("duration_s") * fs).cast("long").alias("n"))
+    trains = spikes.groupBy("rec", "ch").agg(F.array_sort(F.collect_list(F.round(F.col("t") * fs).cast("long"))).alias("at")).join(r, "rec")
+    last = -(-reps // block) - 1
+    dealt = trains.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    own = F.sequence(F.col("block") * block + 1, F.least((F.col("block") + 1) * block, F.lit(reps)))
+    dealt = dealt.withColumn("by", F.transform(own, lambda rep: F.pmod(mixed(F.lit(seed), F.col("rec_no"), F.col("ch"), rep), F.col("n")) + 1))
+    kinds = {c: spikes.schema[c].dataType.simpleString() for c in ("rec", "ch")}
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        n, duration, near = int(pdf["n"].iloc[0]), float(pdf["duration_s"].iloc[0]), dt * fs * (1 + 1e-12)
+        names, out = pdf["ch"].to_numpy(), []
+        order = np.argsort(names)
+        for j in range(len(pdf["by"].iloc[0])):
+            shifted = []
+            for i in order:
+                at = np.asarray(pdf["at"].iloc[i]) + int(pdf["by"].iloc[i][j])
+                shifted.append(np.unique(np.where(at > n, at - n, at)))
+            covered = np.array([_tiled(x / fs, dt, duration) for x in shifted])
+            size = np.array([len(x) for x in shifted])
+            hits = np.zeros((len(order),) * 2)
+            for b, x in enumerate(shifted):
+                for a, y in enumerate(shifted):
+                    if a != b:
+                        hits[a, b] = np.count_nonzero(np.searchsorted(x, y + near, "right") > np.searchsorted(x, y - near, "left"))
+            share = hits / size[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                term = (share - covered[None, :]) / (1 - share * covered[None, :])
+            w = np.nan_to_num(0.5 * (term + term.T), nan=0.0, posinf=0.0, neginf=0.0)
+            i, k = np.nonzero(np.triu(w > 0, 1))
+            out.append(pd.DataFrame({"src": names[order][i], "dst": names[order][k], "rep": int(pdf["block"].iloc[0]) * block + j + 1, "w": w[i, k]}))
+        got = pd.concat(out)
+        got.insert(0, "rec", pdf["rec"].iloc[0])
+        return got
+
+    return dealt.groupBy("rec", "block").applyInPandas(run, f"rec {kinds['rec']}, src {kinds['ch']}, dst {kinds['ch']}, rep int, w double")
+
+
+def _tiled(t, dt: float, duration: float) -> float:
+    """Share of the recording within dt of the times t, as tiled_fraction has it."""
+    import numpy as np
+
+    gap = np.diff(t)
+    over = float((2 * dt - gap[gap < 2 * dt]).sum())
+    head = t[0] - dt if t[0] < dt else 0.0
+    tail = duration - t[-1] - dt if duration - t[-1] < dt else 0.0
+    edge = head if len(t) == 1 and t[0] < dt else head + tail
+    return (2 * len(t) * dt - over + edge) / duration
+
+
 def kth_smallest(rows: DataFrame, keys: list[str], value: str, reps: int, tail: float) -> DataFrame:
     """(keys, cut): k-th smallest of `reps` values, k = ceil((1 - tail) reps) kept within 1..reps. Missing rows count as value 0."""
     import math
@@ -85,7 +143,7 @@ def kth_smallest(rows: DataFrame, keys: list[str], value: str, reps: int, tail:
 def significant_edges(spikes: DataFrame, recordings: DataFrame, dt: float, reps: int = 200, tail: float = 0.05, fs: float = 12500.0, seed: int = 1) -> DataFrame:
     """STTC edges whose weight is at least the surrogate cut-off."""
     real = sttc(spikes, recordings, dt)
-    null = sttc(surrogate_trains(spikes, recordings, reps, fs, seed), recordings, dt, ["rec", "rep"])
+    null = surrogate_weights(spikes, recordings, dt, reps, fs, seed)
     cut = kth_smallest(null, ["rec", "src", "dst"], "w", reps, tail)
     return real.join(cut, ["rec", "src", "dst"], "left").filter(F.col("w") >= F.coalesce("cut", F.lit(0.0))).select("rec", "src", "dst", "w")
 

@@ -1,4 +1,4 @@
-"""Learning on responses and features with pyspark.ml: decoding, permutation importance, label shuffles and regression."""
+"""Learning on responses and features with pyspark.ml: decoding, permutation importance and regression."""
 
 from __future__ import annotations
 
@@ -54,23 +54,24 @@ def decode_patterns(wide: DataFrame, features: list[str], label: str = "pattern"
     return spark.createDataFrame(out, "size int, repeat int, accuracy double")
 
 
-def permutation_importance(wide: DataFrame, label: str, features: list[str], seed: int = 1) -> DataFrame:
-    """(feature, importance): rise of a tree's error when one feature is shuffled between rows (ordered by a hash against row order)."""
+def permutation_importance(wide: DataFrame, label: str, features: list[str], seed: int = 1, bucket_rows: int = 100_000) -> DataFrame:
+    """(feature, importance): rise of a tree's error when one feature is shuffled between rows. Rows trade values within buckets of about
+    bucket_rows rows, dealt by a hash, so that no order over the whole table is needed; all features are tried in one pass."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
     from pyspark.sql import Window
 
     z = _vectors(wide, label, features)
     model = DecisionTreeClassifier(labelCol="y", maxDepth=5, seed=seed).fit(z)
-    miss = lambda df: df.agg(F.avg((F.col("prediction") != F.col("y")).cast("double"))).first()[0]
-    base = miss(model.transform(z))
-    plain = z.drop("features").withColumn("__i", F.row_number().over(Window.orderBy(F.xxhash64(*features))))
-    out = []
-    for f in features:
-        other = plain.select(F.col(f).alias("__v"), F.row_number().over(Window.orderBy(F.xxhash64(*features, F.lit(seed)), "__i")).alias("__i"))
-        moved = plain.join(other, "__i").withColumn(f, F.col("__v"))
-        out.append((f, miss(model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(moved))) - base))
-    return wide.sparkSession.createDataFrame(out, "feature string, importance double")
+    error = F.avg((F.col("prediction") != F.col("y")).cast("double"))
+    total, base = model.transform(z).agg(F.count(F.lit(1)), error).first()
+    rows = z.select("y", F.array(*(F.col(f).cast("double") for f in features)).alias("a"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("a"), F.lit(1 + (total or 0) // bucket_rows))).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("f", "b").orderBy(F.xxhash64("a", "y"))))
+    donors = rows.select("f", "b", F.row_number().over(Window.partitionBy("f", "b").orderBy(F.xxhash64("a", "y", "f", F.lit(seed)))).alias("i"), F.element_at("a", F.col("f") + 1).alias("v"))
+    moved = rows.join(donors, ["f", "b", "i"]).withColumn("features", array_to_vector(F.transform("a", lambda x, k: F.when(k == F.col("f"), F.col("v")).otherwise(x))))
+    names = F.element_at(F.array(*map(F.lit, features)), F.col("f") + 1)
+    return model.transform(moved).groupBy("f").agg(error.alias("e")).select(names.alias("feature"), (F.col("e") - F.lit(base)).alias("importance"))
 
 
 def regression_errors(wide: DataFrame, target: str, features: list[str], folds: int = 2, seed: int = 1) -> DataFrame:

@@ -260,7 +260,7 @@ def pagerank(edges: DataFrame, keys: list[str], damping: float = 0.85, tolerance
             if (nxt.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0) < tolerance:
                 return nxt.select(*keys, "node", "rank")
         now = nxt.drop("old")
-    return now.select(*keys, "node", "rank")
+    raise RuntimeError("ranks did not settle")
 
 
 def assortativity(edges: DataFrame, keys: list[str], weighted: bool = False) -> DataFrame:

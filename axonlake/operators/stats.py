@@ -136,23 +136,34 @@ def discriminant(wide: DataFrame, label: str, features: list[str]) -> DataFrame:
     z = wide.dropna(subset=features)
     facts = z.agg(*(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
     used = [f for f in features if facts[f"s_{f}"]]
-    z = z.select(F.col(label).alias("label"), *((F.col(f) - facts[f"m_{f}"]).__truediv__(facts[f"s_{f}"]).alias(f) for f in used))
-    sums = z.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f) for f in used), *(F.covar_pop(a, b).alias(f"{a}|{b}") for i, a in enumerate(used) for b in used[i:])).collect()  # one row per class
+    z = z.select(F.col(label).alias("label"), F.array(*((F.col(f) - facts[f"m_{f}"]) / facts[f"s_{f}"] for f in used)).alias("x"))
     p = len(used)
-    sw, sb = np.zeros((p, p)), np.zeros((p, p))
-    for r in sums:
-        mean = np.array([r[f] for f in used])
-        sb += r["n"] * np.outer(mean, mean)
-        for i, a in enumerate(used):
-            for j in range(i, p):
-                sw[i, j] += r["n"] * r[f"{a}|{used[j]}"]
-    sw = sw + np.triu(sw, 1).T
+
+    def scatter(frames):
+        """Per task and class: rows, sums and sums of products, as (label, position, value)."""
+        held: dict = {}
+        for pdf in frames:
+            for name, part in pdf.groupby("label"):
+                x = np.stack(part["x"])
+                got = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+                held[name] = held[name] + got if name in held else got
+        for name, got in held.items():
+            yield pd.DataFrame({"label": name, "k": np.arange(len(got)), "v": got})
+
+    parts = z.mapInPandas(scatter, f"label {wide.schema[label].dataType.simpleString()}, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v")).toPandas()  # 1 + p + p * p numbers for each class
+    sw, sb, sums = np.zeros((p, p)), np.zeros((p, p)), []
+    for name, part in sorted(parts.groupby("label"), key=lambda x: x[0]):
+        v = part.sort_values("k")["v"].to_numpy()
+        n, mean = v[0], v[1 : p + 1] / v[0]
+        sums.append((name, int(n), mean))
+        sb += n * np.outer(mean, mean)
+        sw += v[p + 1 :].reshape(p, p) - n * np.outer(mean, mean)
     val, vec = np.linalg.eigh(sw + 1e-9 * np.eye(p))
     white = vec / np.sqrt(np.maximum(val, 1e-12))
     axes = white @ np.linalg.eigh(white.T @ sb @ white)[1][:, ::-1][:, : max(1, min(len(sums) - 1, p))]
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
     spark = wide.sparkSession
-    rows = [(r["label"], int(r["n"]), *(float(x) for x in np.array([r[f] for f in used]) @ axes)) for r in sums]
+    rows = [(name.item() if hasattr(name, "item") else name, n, *(float(x) for x in mean @ axes)) for name, n, mean in sums]
     return spark.createDataFrame(rows, f"{label} {wide.schema[label].dataType.simpleString()}, n long, " + ", ".join(f"axis_{i + 1} double" for i in range(axes.shape[1])))
 
 

@@ -30,6 +30,18 @@ _SYM = "sym AS (SELECT rec, src, dst, w FROM edges UNION ALL SELECT rec, dst, sr
 _DEG = "deg AS (SELECT rec, src AS node, count(*) AS k, sum(w) AS s FROM sym GROUP BY rec, src)"
 _FRAMES = "frames AS (SELECT label AS rec, vec_id AS frame, unnest(range(64)) AS roi, unnest(embedding)::DOUBLE AS f FROM embeddings)"
 _COMM = "comm AS (SELECT rec, node, node % 5 AS community FROM deg)"
+_TILING = """WITH u AS (SELECT DISTINCT rec, ch, t FROM spikes), p AS (SELECT 1800.0::DOUBLE AS dt, 2592000.0::DOUBLE AS dur),
+    g AS (SELECT rec, ch, t, t - lag(t) OVER (PARTITION BY rec, ch ORDER BY t) AS g FROM u),
+    a AS (SELECT rec, ch, count(*) AS n, sum(CASE WHEN g < 2 * dt THEN 2 * dt - g ELSE 0 END) AS o, min(t) AS f, max(t) AS l FROM g, p GROUP BY rec, ch),
+    ta AS (SELECT rec, ch, n, (2 * n * dt - o + CASE WHEN f < dt THEN f - dt ELSE 0 END + CASE WHEN n = 1 AND f < dt THEN 0 WHEN dur - l < dt THEN dur - l - dt ELSE 0 END) / dur AS ta FROM a, p),
+    h AS (SELECT x.rec, x.ch AS a, y.ch AS b, count(DISTINCT x.t) AS h FROM u x JOIN u y ON x.rec = y.rec AND x.ch <> y.ch AND abs(x.t - y.t) <= 1800 GROUP BY ALL),
+    w AS (SELECT A.rec, A.ch AS src, B.ch AS dst, h1.h / A.n AS pa, coalesce(h2.h, 0) / B.n AS pb, A.ta AS ta, B.ta AS tb FROM ta A JOIN ta B ON A.rec = B.rec AND A.ch < B.ch
+    JOIN h h1 ON h1.rec = A.rec AND h1.a = A.ch AND h1.b = B.ch LEFT JOIN h h2 ON h2.rec = A.rec AND h2.a = B.ch AND h2.b = A.ch),
+    tiling AS (SELECT rec, src, dst, 0.5 * ((pa - tb) / (1 - pa * tb) + (pb - ta) / (1 - pb * ta)) AS w FROM w)"""
+_NET = f"net AS ({_TILING} SELECT rec, src, dst, w FROM tiling WHERE w > 0)"
+_NETSYM = "netsym AS (SELECT rec, src, dst, w FROM net UNION ALL SELECT rec, dst, src, w FROM net)"
+_STEPS = """steps AS (SELECT a.l_returnflag || year(a.l_shipdate)::VARCHAR AS rec, a.l_suppkey AS src, b.l_suppkey AS dst, count(*)::DOUBLE AS w
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey GROUP BY ALL)"""
 KEY = ["rec"]
 
 
@@ -39,8 +51,8 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            known = {"spikes": _SPIKES, "recs": _RECS, "chans": _CHANS, "edges": _EDGES, "sym": _SYM, "deg": _DEG, "frames": _FRAMES, "comm": _COMM}
-            needs = {"chans": ["recs"], "sym": ["edges"], "deg": ["edges", "sym"], "comm": ["edges", "sym", "deg"]}
+            known = {"spikes": _SPIKES, "recs": _RECS, "chans": _CHANS, "edges": _EDGES, "sym": _SYM, "deg": _DEG, "frames": _FRAMES, "comm": _COMM, "net": _NET, "netsym": _NETSYM, "steps": _STEPS}
+            needs = {"chans": ["recs"], "sym": ["edges"], "deg": ["edges", "sym"], "comm": ["edges", "sym", "deg"], "net": ["spikes"], "netsym": ["spikes", "net"]}
             words = set(re.findall(r"\w+", sql))
             use = {k for k in known if k in words}
             use |= {x for k in list(use) for x in needs.get(k, [])}
@@ -261,15 +273,15 @@ def response_indices(spark, d):
     return x.select("rec", "ch", r("d_prime").alias("d_prime"), r("z").alias("z"), r("median_latency_ms", 3).alias("median_latency_ms"))
 
 
-@query("last_stimulus_before", f"WITH {_STIM} SELECT s.rec, s.ch, round(s.t, 6) AS t, round((SELECT max(ts) FROM stim WHERE stim.rec = s.rec AND stim.ts < s.t), 6) AS ts FROM spikes s WHERE s.ch = 5")
+@query("last_stimulus_before", f"WITH {_STIM} SELECT s.rec, s.ch, round(s.t, 6) AS t, round((SELECT max(ts) FROM stim WHERE stim.rec = s.rec AND stim.ts < s.t), 6) AS ts FROM spikes s")
 def last_stimulus_before(spark, d):
-    s = views.spikes(spark, d).filter("ch = 5").select("rec", "ch", "t")
+    s = views.spikes(spark, d).select("rec", "ch", "t")
     return _rounded(joins.as_of(s, _stim(spark, d).select("rec", F.col("ts").alias("t"), "ts"), ["rec"], "ts"))
 
 
-@query("next_stimulus_after", f"WITH {_STIM} SELECT s.rec, s.ch, round(s.t, 6) AS t, round((SELECT min(ts) FROM stim WHERE stim.rec = s.rec AND stim.ts > s.t), 6) AS ts FROM spikes s WHERE s.ch = 5")
+@query("next_stimulus_after", f"WITH {_STIM} SELECT s.rec, s.ch, round(s.t, 6) AS t, round((SELECT min(ts) FROM stim WHERE stim.rec = s.rec AND stim.ts > s.t), 6) AS ts FROM spikes s")
 def next_stimulus_after(spark, d):
-    s = views.spikes(spark, d).filter("ch = 5").select("rec", "ch", "t")
+    s = views.spikes(spark, d).select("rec", "ch", "t")
     return _rounded(joins.as_of(s, _stim(spark, d).select("rec", F.col("ts").alias("t"), "ts"), ["rec"], "ts", forward=True))
 
 
@@ -302,17 +314,7 @@ def roster_join(spark, d):
 
 # ---- connectivity ---------------------------------------------------------------------------------------------------------------------
 
-_STTC = """WITH g AS (SELECT rec, ch, t, t - lag(t) OVER (PARTITION BY rec, ch ORDER BY t) AS g FROM u), u AS (SELECT DISTINCT rec, ch, t FROM spikes),
-    a AS (SELECT rec, ch, count(*) AS n, sum(CASE WHEN g < 2 * dt THEN 2 * dt - g ELSE 0 END) AS o, min(t) AS f, max(t) AS l FROM g, p GROUP BY rec, ch),
-    p AS (SELECT 1800.0::DOUBLE AS dt, 2592000.0::DOUBLE AS dur),
-    ta AS (SELECT rec, ch, n, (2 * n * dt - o + CASE WHEN f < dt THEN f - dt ELSE 0 END + CASE WHEN n = 1 AND f < dt THEN 0 WHEN dur - l < dt THEN dur - l - dt ELSE 0 END) / dur AS ta FROM a, p),
-    h AS (SELECT x.rec, x.ch AS a, y.ch AS b, count(DISTINCT x.t) AS h FROM u x JOIN u y ON x.rec = y.rec AND x.ch <> y.ch AND abs(x.t - y.t) <= 1800 GROUP BY ALL),
-    w AS (SELECT A.rec, A.ch AS src, B.ch AS dst, h1.h / A.n AS pa, coalesce(h2.h, 0) / B.n AS pb, A.ta AS ta, B.ta AS tb FROM ta A JOIN ta B ON A.rec = B.rec AND A.ch < B.ch
-    JOIN h h1 ON h1.rec = A.rec AND h1.a = A.ch AND h1.b = B.ch LEFT JOIN h h2 ON h2.rec = A.rec AND h2.a = B.ch AND h2.b = A.ch),
-    sttc AS (SELECT rec, src, dst, 0.5 * ((pa - tb) / (1 - pa * tb) + (pb - ta) / (1 - pb * ta)) AS w FROM w) SELECT rec, src, dst, round(w, 6) AS w FROM sttc WHERE w > 0"""
-
-
-@query("sttc_edges", _STTC.replace("WITH g AS", "WITH u AS (SELECT DISTINCT rec, ch, t FROM spikes), p AS (SELECT 1800.0::DOUBLE AS dt, 2592000.0::DOUBLE AS dur), g AS").replace(", u AS (SELECT DISTINCT rec, ch, t FROM spikes),\n    a AS", ",\n    a AS").replace("\n    p AS (SELECT 1800.0::DOUBLE AS dt, 2592000.0::DOUBLE AS dur),\n    ta AS", "\n    ta AS"))
+@query("sttc_edges", _TILING + " SELECT rec, src, dst, round(w, 6) AS w FROM tiling WHERE w > 0")
 def sttc_edges(spark, d):
     s = views.spikes(spark, d).select("rec", "ch", "t").distinct()
     return _rounded(conn.sttc(s, views.recordings(spark, d), 1800.0))
@@ -321,20 +323,18 @@ def sttc_edges(spark, d):
 @query("significant_edges")
 def significant_edges(spark, d):
     s = views.spikes(spark, d).select("rec", "ch", "t").distinct()
-    return _rounded(conn.significant_edges(s, views.recordings(spark, d), 1800.0, reps=20, fs=1.0))
+    return _rounded(conn.significant_edges(s, views.recordings(spark, d), 1800.0, fs=1.0))
 
 
 @query("threshold_stability")
 def threshold_stability(spark, d):
     s, rec = views.spikes(spark, d).select("rec", "ch", "t").distinct(), views.recordings(spark, d)
-    null = conn.sttc(conn.surrogate_trains(s, rec, 20, 1.0), rec, 1800.0, ["rec", "rep"])
-    return _rounded(conn.threshold_checkpoints(null, 20, 0.05))
+    return _rounded(conn.threshold_checkpoints(conn.surrogate_weights(s, rec, 1800.0, 200, 1.0), 200, 0.05))
 
 
-@query("frame_correlations", """SELECT a.rec, a.roi AS src, b.roi AS dst, round(corr(a.f, b.f), 6) AS w FROM frames a JOIN frames b ON a.rec = b.rec AND a.frame = b.frame AND a.roi < b.roi
-    WHERE a.roi < 16 AND b.roi < 16 GROUP BY ALL""")
+@query("frame_correlations", """SELECT a.rec, a.roi AS src, b.roi AS dst, round(corr(a.f, b.f), 6) AS w FROM frames a JOIN frames b ON a.rec = b.rec AND a.frame = b.frame AND a.roi < b.roi GROUP BY ALL""")
 def frame_correlations(spark, d):
-    return _rounded(conn.correlations(views.frames(spark, d, 16)))
+    return _rounded(conn.correlations(views.frames(spark, d)))
 
 
 @query("strongest_edges", "SELECT rec, src, dst, w FROM edges QUALIFY row_number() OVER (PARTITION BY rec ORDER BY abs(w) DESC, src, dst) <= 50")
@@ -518,63 +518,66 @@ def path_metrics(spark, d):
     return _rounded(network.path_metrics(network.shortest_paths(e, KEY), network.degrees(e, KEY), KEY))
 
 
-@query("nodal_efficiency")
+@query("nodal_efficiency", _PATHS.replace("WITH RECURSIVE", "WITH") + ", n AS (SELECT rec, count(*) AS n FROM deg GROUP BY rec), q AS (SELECT rec, src AS node, sum(d) AS far, count(*) AS reached FROM paths GROUP BY ALL) SELECT deg.rec, deg.node, round(CASE WHEN reached = n - 1 THEN n / far ELSE 0 END, 6) AS ne FROM deg JOIN n USING (rec) LEFT JOIN q ON q.rec = deg.rec AND q.node = deg.node")
 def nodal_efficiency(spark, d):
     e = views.supplier_edges(spark, d)
     return _rounded(network.nodal_efficiency(network.shortest_paths(e, KEY), network.degrees(e, KEY).select("rec", "node"), KEY))
 
 
-def _sparse(spark, d) -> DataFrame:
-    """The stronger edges of every network: sparse enough to have structure."""
-    return conn.above(views.supplier_edges(spark, d), 3.0)
+def tiling_network(spark, d) -> DataFrame:
+    """Every recording's channels joined by positive tiling coefficients: networks of an instrument's size, one for each recording."""
+    return conn.sttc(views.spikes(spark, d).select("rec", "ch", "t").distinct(), views.recordings(spark, d), 1800.0)
 
 
-@query("components", """WITH RECURSIVE s AS (SELECT rec, src, dst FROM edges WHERE w >= 3 UNION ALL SELECT rec, dst, src FROM edges WHERE w >= 3),
+@query("components", """WITH RECURSIVE s AS (SELECT rec, src, dst FROM netsym),
     reach AS (SELECT rec, src AS node, src AS seen FROM s UNION SELECT reach.rec, reach.node, s.dst FROM reach JOIN s ON s.rec = reach.rec AND s.src = reach.seen)
     SELECT rec, node, min(seen) AS component FROM reach GROUP BY rec, node""")
 def components(spark, d):
-    return network.components(_sparse(spark, d), KEY)
+    return network.components(tiling_network(spark, d), KEY)
 
 
 @query("k_core")
 def k_core(spark, d):
-    return network.k_core(_sparse(spark, d), KEY, 3)
+    return network.k_core(tiling_network(spark, d), KEY, 7)
 
 
 @query("coreness")
 def coreness(spark, d):
-    return network.coreness(conn.above(views.supplier_edges(spark, d), 4.0), KEY)
+    return network.coreness(tiling_network(spark, d), KEY)
 
 
 @query("s_core")
 def s_core(spark, d):
-    return network.s_core(_sparse(spark, d), KEY, 12.0)
+    return _rounded(network.s_core(tiling_network(spark, d), KEY, 0.2))
 
 
 @query("pagerank")
 def pagerank(spark, d):
-    return _rounded(network.pagerank(_sparse(spark, d), KEY))
+    return _rounded(network.pagerank(tiling_network(spark, d), KEY))
 
 
-@query("walk_counts", "WITH s AS (SELECT rec, src, dst FROM sym WHERE w >= 3), w2 AS (SELECT a.rec, count(*) AS n FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src GROUP BY a.rec), w3 AS (SELECT a.rec, count(*) AS n FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src JOIN s c ON c.rec = b.rec AND b.dst = c.src GROUP BY a.rec) SELECT rec, 1 AS q, count(*) AS n FROM s GROUP BY rec UNION ALL SELECT rec, 2, n FROM w2 UNION ALL SELECT rec, 3, n FROM w3")
+@query("walk_counts", "WITH s AS (SELECT rec, src, dst FROM netsym), w2 AS (SELECT a.rec, count(*) AS n FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src GROUP BY a.rec), w3 AS (SELECT a.rec, count(*) AS n FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src JOIN s c ON c.rec = b.rec AND b.dst = c.src GROUP BY a.rec) SELECT rec, 1 AS q, count(*) AS n FROM s GROUP BY rec UNION ALL SELECT rec, 2, n FROM w2 UNION ALL SELECT rec, 3, n FROM w3")
 def walk_counts(spark, d):
-    return network.walks(_sparse(spark, d), KEY, 3)
+    return network.walks(tiling_network(spark, d), KEY, 3)
 
 
-@query("directed_degrees", """WITH a AS (SELECT o_custkey % 50 AS src, o_orderkey % 47 AS dst, count(*)::DOUBLE AS w FROM orders GROUP BY ALL), n AS (SELECT src AS node FROM a UNION SELECT dst FROM a)
-    SELECT node, (SELECT count(*) FROM a WHERE dst = node) AS indegree, (SELECT count(*) FROM a WHERE src = node) AS outdegree, coalesce((SELECT sum(w) FROM a WHERE dst = node), 0) AS in_strength, coalesce((SELECT sum(w) FROM a WHERE src = node), 0) AS out_strength FROM n""")
+@query("directed_degrees", """WITH n AS (SELECT rec, src AS node FROM steps UNION SELECT rec, dst FROM steps), i AS (SELECT rec, dst AS node, count(*) AS k, sum(w) AS s FROM steps GROUP BY ALL), o AS (SELECT rec, src AS node, count(*) AS k, sum(w) AS s FROM steps GROUP BY ALL)
+    SELECT n.rec, n.node, coalesce(i.k, 0) AS indegree, coalesce(o.k, 0) AS outdegree, coalesce(i.s, 0) AS in_strength, coalesce(o.s, 0) AS out_strength FROM n LEFT JOIN i ON i.rec = n.rec AND i.node = n.node LEFT JOIN o ON o.rec = n.rec AND o.node = n.node""")
 def directed_degrees(spark, d):
-    return network.directed_degrees(_arcs(spark, d), []).select("node", "indegree", "outdegree", "in_strength", "out_strength")
+    return network.directed_degrees(steps(spark, d), KEY).select("rec", "node", "indegree", "outdegree", "in_strength", "out_strength")
 
 
-def _arcs(spark, d) -> DataFrame:
-    o = views.table(spark, d, "orders")
-    return o.groupBy((F.col("o_custkey") % 50).alias("src"), (F.col("o_orderkey") % 47).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+def steps(spark, d) -> DataFrame:
+    """Arcs from each line's supplier to that of the next line of its order, one network per return flag and year; w: how often."""
+    li = views.table(spark, d, "lineitem")
+    a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.concat("l_returnflag", F.year("l_shipdate").cast("string")).alias("rec"), F.col("l_suppkey").alias("src"))
+    b = li.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).filter("src <> dst").groupBy("rec", "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
 @query("local_efficiency")
 def local_efficiency(spark, d):
-    return _rounded(network.local_efficiency(_sparse(spark, d), KEY))
+    return _rounded(network.local_efficiency(tiling_network(spark, d), KEY))
 
 
 @query("motifs")
@@ -585,62 +588,62 @@ def motifs(spark, d):
 
 @query("community_agreement")
 def community_agreement(spark, d):
-    e = _sparse(spark, d)
-    runs = kernels.replicated(e, 5, "run")
+    e = tiling_network(spark, d)
+    runs = kernels.replicated(e, 50, "run")
     return network.agreement(kernels.louvain(runs, ["rec", "run"]), KEY)
 
 
 @query("louvain")
 def louvain(spark, d):
-    e = _sparse(spark, d)
+    e = tiling_network(spark, d)
     return _rounded(network.modularity(e, kernels.louvain(e, KEY), KEY))
 
 
 @query("consensus_communities")
 def consensus_communities(spark, d):
-    return kernels.consensus_communities(_sparse(spark, d), KEY, runs=10)
+    return kernels.consensus_communities(tiling_network(spark, d), KEY)
 
 
 @query("partition_distance")
 def partition_distance(spark, d):
-    e = _sparse(spark, d)
+    e = tiling_network(spark, d)
     return _rounded(network.partition_distance(kernels.louvain(e, KEY), _communities(e), KEY))
 
 
 @query("betweenness")
 def betweenness(spark, d):
-    return _rounded(kernels.betweenness(_sparse(spark, d), KEY))
+    return _rounded(kernels.betweenness(tiling_network(spark, d), KEY))
 
 
 @query("edge_betweenness")
 def edge_betweenness(spark, d):
-    return _rounded(kernels.edge_betweenness(_sparse(spark, d), KEY))
+    return _rounded(kernels.edge_betweenness(tiling_network(spark, d), KEY))
 
 
 @query("eigenvector_centrality")
 def eigenvector_centrality(spark, d):
-    return _rounded(kernels.eigenvector_centrality(views.supplier_edges(spark, d), KEY))
+    return _rounded(kernels.eigenvector_centrality(tiling_network(spark, d), KEY))
 
 
 @query("communicability")
 def communicability(spark, d):
-    return _rounded(kernels.communicability(conn.normalise(_sparse(spark, d), KEY), KEY))
+    return _rounded(kernels.communicability(conn.normalise(tiling_network(spark, d), KEY), KEY))
 
 
 @query("controllability")
 def controllability(spark, d):
-    return _rounded(kernels.controllability(views.supplier_edges(spark, d), KEY))
+    return _rounded(kernels.controllability(tiling_network(spark, d), KEY))
 
 
 @query("normalised_participation")
 def normalised_participation(spark, d):
-    e = _sparse(spark, d)
-    return _rounded(kernels.normalised_participation(e, _communities(e), KEY, reps=10))
+    e = tiling_network(spark, d)
+    return _rounded(kernels.normalised_participation(e, _communities(e), KEY))
 
 
 @query("small_worldness")
 def small_worldness(spark, d):
-    return _rounded(kernels.small_worldness(_sparse(spark, d), KEY))
+    return _rounded(kernels.small_worldness(tiling_network(spark, d), KEY))
 
 
 @query("effective_rank")
@@ -666,7 +669,7 @@ def psth_metrics(spark, d):
 @query("shuffle_test")
 def shuffle_test(spark, d):
     s = views.spikes(spark, d).select("rec", "ch", "t")
-    return _rounded(stimulus.shuffle_test(s, _stim(spark, d), views.channels(spark, d), views.recordings(spark, d), (-7200.0, 0.0), (1.0, 7201.0), shuffles=10, fs=1.0)).drop("pattern")
+    return _rounded(stimulus.shuffle_test(s, _stim(spark, d), views.channels(spark, d), views.recordings(spark, d), (-7200.0, 0.0), (1.0, 7201.0), shuffles=500, fs=1.0)).drop("pattern")
 
 
 @query("trial_responses", f"""WITH {_STIM}, g AS (SELECT stim.rec, trial, ts, c.ch FROM stim JOIN chans c ON c.rec = stim.rec)
@@ -812,18 +815,18 @@ def feature_correlations(spark, d):
     return _rounded(stats.feature_correlations(li, ["rec"], ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
-def _wide(spark, d, k: int = 8) -> DataFrame:
+def _wide(spark, d, k: int = 64) -> DataFrame:
     return views.table(spark, d, "embeddings").select("label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(k)))
 
 
 @query("discriminant")
 def discriminant(spark, d):
-    return _rounded(stats.discriminant(_wide(spark, d), "label", [f"x{i}" for i in range(8)]))
+    return _rounded(stats.discriminant(_wide(spark, d), "label", [f"x{i}" for i in range(64)]))
 
 
 @query("classifier_losses")
 def classifier_losses(spark, d):
-    return _rounded(stats.classifier_losses(_wide(spark, d, 16), "label", [f"x{i}" for i in range(16)]))
+    return _rounded(stats.classifier_losses(_wide(spark, d), "label", [f"x{i}" for i in range(64)]))
 
 
 @query("kernel_density", """WITH g AS (SELECT r_name AS rec, count(*) AS n, greatest(1.06 * stddev_samp(c_acctbal) * count(*) ** -0.2, 0.1 * (max(c_acctbal) - min(c_acctbal)), 1e-9) AS h, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM c GROUP BY r_name),

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 from ..operators import graph_extra as g
 from ..operators import network
 from ..sources import views
-from .catalog import KEY, _communities, _rounded, _sparse, query
+from .catalog import KEY, _communities, _rounded, query, steps, tiling_network
 
-_ARCS = """arcs AS (SELECT DISTINCT o_orderstatus AS rec, o_custkey % 40 AS src, o_orderkey % 37 AS dst FROM orders WHERE o_custkey % 40 <> o_orderkey % 37 AND o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0)"""
+_ARCS = "arcs AS (SELECT rec, src, dst FROM steps)"
 _LINKS = """l AS (SELECT rec, least(src, dst) AS u, greatest(src, dst) AS v, count(*)::DOUBLE AS k FROM arcs GROUP BY ALL), e AS (SELECT rec, u AS x, v AS y, k FROM l UNION ALL SELECT rec, v, u, k FROM l)"""
 
 
 def _arcs(spark, d):
-    o = views.table(spark, d, "orders").filter("o_orderpriority = '5-LOW' and o_orderkey % 3 = 0")
-    return o.select(F.col("o_orderstatus").alias("rec"), (F.col("o_custkey") % 40).alias("src"), (F.col("o_orderkey") % 37).alias("dst")).filter("src <> dst").distinct().withColumn("w", F.lit(1.0))
+    return steps(spark, d).withColumn("w", F.lit(1.0))
 
 
 def _signed(spark, d):
-    return views.supplier_edges(spark, d).filter("w >= 2").withColumn("w", F.when((F.col("src") + F.col("dst")) % 3 == 0, -F.col("w")).otherwise(F.col("w")))
+    return views.supplier_edges(spark, d).withColumn("w", F.when((F.col("src") + F.col("dst")) % 3 == 0, -F.col("w")).otherwise(F.col("w")))
 
 
-@query("signed_strengths", """WITH s AS (SELECT rec, src, CASE WHEN (src + dst) % 3 = 0 THEN -w ELSE w END AS w FROM sym WHERE w >= 2), a AS (SELECT rec, src AS node, sum(CASE WHEN w > 0 THEN w ELSE 0 END) AS positive, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS negative FROM s GROUP BY ALL)
+@query("signed_strengths", """WITH s AS (SELECT rec, src, CASE WHEN (src + dst) % 3 = 0 THEN -w ELSE w END AS w FROM sym), a AS (SELECT rec, src AS node, sum(CASE WHEN w > 0 THEN w ELSE 0 END) AS positive, sum(CASE WHEN w < 0 THEN -w ELSE 0 END) AS negative FROM s GROUP BY ALL)
     SELECT *, sum(positive) OVER (PARTITION BY rec) AS total_positive, sum(negative) OVER (PARTITION BY rec) AS total_negative FROM a""")
 def signed_strengths(spark, d):
     return g.signed_strengths(_signed(spark, d), KEY)
@@ -56,26 +55,26 @@ def signed_clustering(spark, d):
     return _rounded(g.signed_clustering(_signed(spark, d), KEY))
 
 
-@query("hop_distances", f"WITH RECURSIVE {_ARCS}, w AS (SELECT rec, src, dst, 1 AS d FROM arcs UNION SELECT w.rec, w.src, a.dst, w.d + 1 FROM w JOIN arcs a ON a.rec = w.rec AND a.src = w.dst WHERE w.d < 12) SELECT rec, src, dst, min(d)::INT AS d FROM w WHERE src <> dst GROUP BY ALL")
+@query("hop_distances", f"WITH RECURSIVE {_ARCS}, w AS (SELECT rec, src, dst, 1 AS d FROM arcs UNION SELECT w.rec, w.src, a.dst, w.d + 1 FROM w JOIN arcs a ON a.rec = w.rec AND a.src = w.dst WHERE w.d < 8) SELECT rec, src, dst, min(d)::INT AS d FROM w WHERE src <> dst GROUP BY ALL")
 def hop_distances(spark, d):
     return g.hops(_arcs(spark, d), KEY)
 
 
 @query("binary_efficiency")
 def binary_efficiency(spark, d):
-    e = _sparse(spark, d)
+    e = tiling_network(spark, d)
     return _rounded(g.binary_efficiency(e, network.degrees(e, KEY), KEY))
 
 
 @query("edge_ranges")
 def edge_ranges(spark, d):
-    return g.edge_ranges(_sparse(spark, d), KEY)
+    return g.edge_ranges(tiling_network(spark, d), KEY)
 
 
-@query("cycle_probability", """WITH s AS (SELECT rec, src, dst FROM sym WHERE w >= 3), a AS (SELECT a.rec, a.src, b.dst FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src), b AS (SELECT a.rec, a.src, s.dst FROM a JOIN s ON a.rec = s.rec AND a.dst = s.src)
+@query("cycle_probability", """WITH s AS (SELECT rec, src, dst FROM netsym), a AS (SELECT a.rec, a.src, b.dst FROM s a JOIN s b ON a.rec = b.rec AND a.dst = b.src), b AS (SELECT a.rec, a.src, s.dst FROM a JOIN s ON a.rec = s.rec AND a.dst = s.src)
     SELECT rec, 1 AS q, 0.0::DOUBLE AS share FROM s GROUP BY rec UNION ALL SELECT rec, 2, round(count(*) FILTER (src = dst) / count(*), 6) FROM a GROUP BY rec UNION ALL SELECT rec, 3, round(count(*) FILTER (src = dst) / count(*), 6) FROM b GROUP BY rec""")
 def cycle_probability(spark, d):
-    return _rounded(g.cycle_probability(_sparse(spark, d), KEY, 3))
+    return _rounded(g.cycle_probability(tiling_network(spark, d), KEY, 3))
 
 
 @query("flow_coefficient", f"""WITH {_ARCS}, k AS (SELECT rec, v, count(*) AS k FROM (SELECT rec, src AS v, dst AS u FROM arcs UNION SELECT rec, dst, src FROM arcs) GROUP BY ALL),
@@ -98,17 +97,17 @@ def signed_participation(spark, d):
     return _rounded(g.signed_participation(e, _communities(e), KEY))
 
 
-@query("binary_rich_club", """WITH s AS (SELECT rec, src, dst FROM edges WHERE w >= 3), d AS (SELECT rec, n, count(*) AS k FROM (SELECT rec, src AS n FROM s UNION ALL SELECT rec, dst FROM s) GROUP BY ALL),
+@query("binary_rich_club", """WITH s AS (SELECT rec, src, dst FROM net), d AS (SELECT rec, n, count(*) AS k FROM (SELECT rec, src AS n FROM s UNION ALL SELECT rec, dst FROM s) GROUP BY ALL),
     ks AS (SELECT rec, unnest(range(max(k))) AS k FROM d GROUP BY rec), a AS (SELECT ks.rec, ks.k, count(*) AS nodes FROM ks JOIN d ON d.rec = ks.rec AND d.k > ks.k GROUP BY ALL),
     m AS (SELECT ks.rec, ks.k, count(*) AS links FROM ks JOIN s ON s.rec = ks.rec JOIN d x ON x.rec = s.rec AND x.n = s.src JOIN d y ON y.rec = s.rec AND y.n = s.dst WHERE least(x.k, y.k) > ks.k GROUP BY ALL)
     SELECT rec, k, nodes, coalesce(links, 0) AS links, round(CASE WHEN nodes > 1 THEN 2 * coalesce(links, 0) / (nodes * (nodes - 1)) END, 6) AS share FROM a LEFT JOIN m USING (rec, k)""")
 def binary_rich_club(spark, d):
-    return _rounded(g.binary_rich_club(_sparse(spark, d), KEY))
+    return _rounded(g.binary_rich_club(tiling_network(spark, d), KEY))
 
 
 @query("backbone")
 def backbone(spark, d):
-    return g.backbone(_sparse(spark, d), KEY)
+    return g.backbone(tiling_network(spark, d), KEY)
 
 
 @query("hub_scores", """SELECT rec, node, round(coalesce((k - avg(k) OVER w) / nullif(stddev_samp(k) OVER w, 0), 0) + coalesce((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 0), 6) AS score FROM deg WINDOW w AS (PARTITION BY rec)""")
@@ -177,7 +176,7 @@ def ordered_groups(spark, d):
 def resampled_frames(spark, d):
     from ..operators import signal
 
-    return _rounded(signal.resample(views.frames(spark, d, 8), 33.3, 10.0))
+    return _rounded(signal.resample(views.frames(spark, d), 33.3, 10.0))
 
 
 @query("zscore_burst_counts")

@@ -10,7 +10,7 @@ from ..sources import views
 from . import reports
 from .catalog import _rounded, _stim, _wide, query
 
-_CFG = reports.Config(lags_ms=(900_000, 1_800_000), surrogates=0, fs=1.0, min_rate=1e-6, burst_events=5, burst_gap=1800.0, channel_burst_events=3, metrics=("degree", "clustering", "size", "density", "degree_mean", "strength_mean"))
+_CFG = reports.Config(lags_ms=(900_000, 1_800_000), surrogates=200, fs=1.0, min_rate=1e-6, burst_events=5, burst_gap=1800.0, channel_burst_events=3, metrics=("degree", "clustering", "size", "density", "degree_mean", "strength_mean"))
 
 
 @query("activity_report")
@@ -61,7 +61,7 @@ def pattern_decoding(spark, d):
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    return _rounded(learning.permutation_importance(_wide(spark, d, 4), "label", [f"x{i}" for i in range(4)]))
+    return _rounded(learning.permutation_importance(_wide(spark, d), "label", [f"x{i}" for i in range(64)]))
 
 
 @query("regression_errors")
