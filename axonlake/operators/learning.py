@@ -56,20 +56,20 @@ def decode_patterns(wide: DataFrame, features: list[str], label: str = "pattern"
 
 def permutation_importance(wide: DataFrame, label: str, features: list[str], seed: int = 1, bucket_rows: int = 100_000) -> DataFrame:
     """(feature, importance): rise of a tree's error when one feature is shuffled between rows. Rows trade values within buckets of about
-    bucket_rows rows, dealt by a hash, so that no order over the whole table is needed; all features are tried in one pass."""
+    bucket_rows rows, dealt by a hash, so that no order over the whole table is needed; a row has one partner for all features."""
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.sql import Window
 
     z = _vectors(wide, label, features)
     model = DecisionTreeClassifier(labelCol="y", maxDepth=5, seed=seed).fit(z)
     error = F.avg((F.col("prediction") != F.col("y")).cast("double"))
     total, base = model.transform(z).agg(F.count(F.lit(1)), error).first()
-    rows = z.select("y", F.array(*(F.col(f).cast("double") for f in features)).alias("a"))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("a"), F.lit(1 + (total or 0) // bucket_rows))).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("f", "b").orderBy(F.xxhash64("a", "y"))))
-    donors = rows.select("f", "b", F.row_number().over(Window.partitionBy("f", "b").orderBy(F.xxhash64("a", "y", "f", F.lit(seed)))).alias("i"), F.element_at("a", F.col("f") + 1).alias("v"))
-    moved = rows.join(donors, ["f", "b", "i"]).withColumn("features", array_to_vector(F.transform("a", lambda x, k: F.when(k == F.col("f"), F.col("v")).otherwise(x))))
+    rows = z.select("y", vector_to_array("features").alias("a")).withColumn("b", F.pmod(F.xxhash64("a"), F.lit(1 + (total or 0) // bucket_rows)))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "y"), "y")))
+    donors = rows.select("b", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "y", F.lit(seed)), "y")).alias("i"), F.col("a").alias("other"))
+    moved = rows.join(donors, ["b", "i"]).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))  # the shuffle comes before a row meets its features
+    moved = moved.select("f", "y", array_to_vector(F.transform("a", lambda x, k: F.when(k == F.col("f"), F.element_at("other", k + 1)).otherwise(x))).alias("features"))
     names = F.element_at(F.array(*map(F.lit, features)), F.col("f") + 1)
     return model.transform(moved).groupBy("f").agg(error.alias("e")).select(names.alias("feature"), (F.col("e") - F.lit(base)).alias("importance"))
 

@@ -538,7 +538,7 @@ def components(spark, d):
 
 @query("k_core")
 def k_core(spark, d):
-    return network.k_core(tiling_network(spark, d), KEY, 7)
+    return network.k_core(tiling_network(spark, d), KEY, 5)
 
 
 @query("coreness")
@@ -548,7 +548,7 @@ def coreness(spark, d):
 
 @query("s_core")
 def s_core(spark, d):
-    return _rounded(network.s_core(tiling_network(spark, d), KEY, 0.2))
+    return _rounded(network.s_core(tiling_network(spark, d), KEY, 0.1))
 
 
 @query("pagerank")

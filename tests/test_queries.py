@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; the others must run."""
+"""Every query with SQL against DuckDB on the smallest tables; the others must run (tests/test_brute_force.py and others hold their operators against definitions)."""
 
 import os
 
@@ -8,7 +8,6 @@ import pytest
 from axonlake.plans import catalog, catalog_extra, catalog_reports  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"classifier_losses", "pagerank", "normalised_participation", "pattern_decoding"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="driver tables are absent")
 
 
@@ -34,6 +33,6 @@ def test_against_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], df.columns) == plain(got.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE])
 def test_runs(spark, name):
     catalog.QUERIES[name](spark, DIR).collect()
