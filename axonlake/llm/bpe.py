@@ -19,6 +19,7 @@ next one, so neither the text nor its ids are held whole. Tokens of recent words
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import heapq
 import json
@@ -469,6 +470,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches):
         enc, dec = shared_encoder(source.value), Decoder(vocabulary(source.value))
+        gc.freeze()  # the vocabulary's many objects stay, so collections need not look at them
         for b in batches:
             got = [round_trip_digests(text_blocks(t, block), enc, dec) for t in b.column(1)]
             count, of_ids, of_text = zip(*got) if got else ((), (), ())

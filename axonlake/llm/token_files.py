@@ -13,17 +13,17 @@ eight bytes, ones before each block u32 each.
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary, _broadcast, _byte_chars, default_tokenizer
+from .bpe import LONGEST_KEPT, LOOSE_SPACE, PLAIN_MARKS, Encoder, Vocabulary, _broadcast, _byte_chars, default_tokenizer
 from .common import read_table, shared_dir
 
 BLOCK = 512
@@ -39,14 +39,17 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes = []
+        nxt, planes = np.empty_like(a), []
         for k in range(bits - 1, -1, -1):
-            one = (a & a.dtype.type(1 << k)) != 0
-            packed = np.packbits(one, bitorder="little")
-            packed = np.pad(packed, (0, -len(packed) % 8))
-            zeros = a[~one]
-            planes.append((len(zeros), packed, _ones_before(packed)))
-            a = np.concatenate([zeros, a[one]])
+            one = (a & a.dtype.type(1 << k)).astype(bool)
+            packed = np.zeros(-(-len(a) // 64) * 8, np.uint8)
+            packed[: -(-len(a) // 8)] = np.packbits(one, bitorder="little")
+            zeros = len(a) - int(np.count_nonzero(one))
+            planes.append((zeros, packed, _ones_before(packed)))
+            if k:
+                np.compress(one, a, out=nxt[zeros:])
+                np.compress(np.logical_not(one, out=one), a, out=nxt[:zeros])
+                a, nxt = nxt, a
         return cls(len(ids), planes)
 
     def _rank1(self, plane, i: int) -> int:
@@ -73,6 +76,22 @@ class WaveletMatrix:
             lo, hi = (plane[0] + a, plane[0] + b) if value >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
 
+    def count_ranges(self, value: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Occurrences of value in each of the ranges lo to hi - 1, all ranks of a plane at once."""
+        at = np.stack([lo, hi]).astype(np.int64)
+        if value >> self.bits or value < 0 or not self.n:
+            return np.zeros(len(lo), np.int64)
+        for k, (zeros, packed, before) in enumerate(self.planes):
+            cut = np.minimum(at, self.n)
+            words = np.concatenate([packed, np.zeros(64, np.uint8)]).view("<u8")
+            block = cut // BLOCK
+            inside = words[(block * 8)[..., None].clip(max=len(words) - 8) + np.arange(8)]
+            bits = (cut - block * BLOCK)[..., None] - 64 * np.arange(8)
+            mask = np.where(bits >= 64, ~np.uint64(0), (np.uint64(1) << bits.clip(0, 63).astype(np.uint64)) - np.uint64(1))
+            ones = before[block].astype(np.int64) + np.bitwise_count(inside & mask).sum(axis=-1, dtype=np.int64)
+            at = zeros + ones if value >> (self.bits - 1 - k) & 1 else at - ones
+        return at[1] - at[0]
+
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of value at positions lo to hi - 1."""
         if value >> self.bits or value < 0:
@@ -152,18 +171,74 @@ def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
 
 
 class LibraryEncoder(Encoder):
-    """Pieces go to the tokenizers library's model; remembered as in Encoder."""
+    """Ids by the tokenizers library's model; remembered as in Encoder. Words that are new in a stretch of texts go to the model in one
+    call, parted by two bytes that take part in no merge, so that nothing can merge across them."""
+
+    CHUNK, CALL = 1_000_000, 128  # characters of text looked through at a time; words in a call
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
         super().__init__(Vocabulary(source), cache=400_000)
         self.model = Tokenizer.from_str(source).model
-        self.chars = {b: c for c, b in _byte_chars().items()}
+        self.chars = np.array([ord(c) for c, _ in sorted(_byte_chars().items(), key=lambda x: x[1])], "<u2")
+        merged = {x for pair in self.v.rank for i in pair for x in self.v.bytes[i]}
+        free = [chr(x) for x in range(0x20) if x not in merged]
+        self.between_words, self.between_pieces = free[:2] if len(free) > 1 else (None, None)
+
+    def _model_ids(self, text: str) -> np.ndarray:
+        mapped = self.chars[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-16-le")
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4")
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return self._model_ids(piece).tobytes()
+
+    def _learn(self, seen: set[str]) -> None:
+        """Have the ids of all words of seen in self.words. A word with a mark after it takes the ids of the word and those of the mark."""
+        words, one, two = self.words, self.between_words, self.between_pieces
+        new = [w for w in seen if w not in words]
+        if len(words) + len(new) > words.limit:
+            words.old = dict(words)
+            words.clear()
+            new = list(seen)
+        old = words.old
+        words.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old and one not in w and two not in w and len(w) <= LONGEST_KEPT]
+        marked = [w for w in new if w[-1:] in PLAIN_MARKS and w[:-1].isalpha()]
+        new = list({*new, *(w[:-1] for w in marked if w[:-1] not in words)}.difference(marked))
+        for at in range(0, len(new), self.CALL):
+            part = new[at : at + self.CALL]
+            ids = self._model_ids(one.join(" " + w if w.isalpha() else two.join(self.find(" " + w)) for w in part))
+            ids = ids[ids != self.v.byte_id[ord(two)]]
+            cuts = np.flatnonzero(ids == self.v.byte_id[ord(one)])
+            data, begins = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
+            words.update(zip(part, map(data.__getitem__, map(slice, begins, [*(4 * cuts).tolist(), len(data)]))))
+        mark = {m: self.pieces[m] for m in PLAIN_MARKS}
+        words.update((w, words[w[:-1]] + mark[w[-1]]) for w in marked)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as encode() gives them."""
+        if self.between_words is None:
+            return [self.encode(t) for t in texts]
+        out, at = [], 0
+        gc.disable()  # the library's token objects by the million would set off collections that find nothing
+        try:
+            while at < len(texts):
+                parts, end, size = [], at, 0
+                while end < len(texts) and size < self.CHUNK:
+                    parts.append(texts[end].split(" "))
+                    size += len(texts[end])
+                    end += 1
+                self._learn(set().union(*parts))
+                for t, (first, *rest) in zip(texts[at:end], parts):
+                    if LOOSE_SPACE(t) is not None or any(s in t for s in self.special):
+                        out.append(self.encode(t))
+                    else:
+                        out.append(self._run(first) + b"".join(map(self.words.__getitem__, rest)))
+                at = end
+        finally:
+            gc.enable()
+        return out
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -180,8 +255,11 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode docs in ascending id order and write shard files of at least shard_ids ids, but for the last of each partition, to path.
 
     Columns: part, seq (order of shards), n_ids, payload. Null and empty texts consist of the end id; a null id sorts first; rows
-    that repeat an id are ordered by their text. A document is never split.
+    that repeat an id follow each other in an order that depends on their text alone, and may lie in several shards. A document is never
+    split. Ids must be whole numbers.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be a column of whole numbers")
     spark = docs.sparkSession
     source = _broadcast(spark, tokenizer)
 
@@ -199,9 +277,9 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_shard(held, ids, bits)], pa.binary())], ["part", "seq", "n_ids", "payload"])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for d, t in zip(b.column(0).to_pylist(), enc.encode_many([t or "" for t in b.column(1).to_pylist()])):
                 held.append(d)
-                ids.append(np.frombuffer(enc.encode(t.as_py() or "") + end, "<u4").astype(small))
+                ids.append(np.frombuffer(t + end, "<u4").astype(small))
                 size += len(ids[-1])
                 if size >= shard_ids:
                     yield flush()
@@ -210,40 +288,48 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             yield flush()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("salt"))
+    rows = rows.repartitionByRange(n, "id", "h", "salt").sortWithinPartitions("id", "h", "text").select("id", "text")  # the salt splits rows that repeat id and text
     rows.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
-def read_token_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """One row per document of the shard files at path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, unless with_ids is
-    false, ids (little-endian u32, binary). The checksum is taken where a shard is decoded, so without ids only small rows move on."""
+def read_token_shards(spark: SparkSession, path: str, with_ids: bool = True, end_id: int = 2) -> DataFrame:
+    """One row per document of the shard files at path: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, n_end (how often
+    end_id occurs in it, by rank on the bit planes) and, unless with_ids is false, ids (little-endian u32, binary). The checksum is taken
+    where a shard is decoded, so without ids only small rows move on."""
     files = spark.read.parquet(path)
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard of millions of ids
-    starts = files.select("part", "seq", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    sizes = files.select("part", "seq", "n_ids")
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard of millions of ids
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_part"))  # one row per part that was written
+    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n_part").over(across), F.lit(0)).alias("before_part"))
+    starts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(parts, "part").select("part", "seq", (F.col("before_part") + F.col("inside")).alias("before"))
 
-    names_ = ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    names_ = ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "n_end"] + ["ids"] * with_ids
 
     def run(batches):
         for b in batches:
             for part, seq, payload in zip(*(b.column(i) for i in range(3))):
                 names, ends, wm = open_shard(payload.as_py())
                 ids, begins = wm.decode().astype("<u4"), np.concatenate([[0], ends[:-1]])
+                n_end = wm.count_ranges(end_id, begins, ends)
                 for at in range(0, len(names), 1000):
                     lo, hi = begins[at : at + 1000], ends[at : at + 1000]
                     values = [ids[i:j].tobytes() for i, j in zip(lo, hi)]
                     k = len(lo)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), pa.array(names[at : at + 1000], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array([zlib.crc32(v) for v in values], pa.int64()), *([pa.array(values, pa.binary())] if with_ids else [])],
+                        [pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), pa.array(names[at : at + 1000], pa.int64()), pa.array(lo, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array([zlib.crc32(v) for v in values], pa.int64()), pa.array(n_end[at : at + 1000], pa.int64()), *([pa.array(values, pa.binary())] if with_ids else [])],
                         names_,
                     )
 
-    schema = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long, n_end long" + ", ids binary" * with_ids
     rows = files.select("part", "seq", "payload").mapInArrow(run, schema)
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_end", *["ids"] * with_ids)
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
-    """Every document, from the files read back: doc_id, start, n_tokens, ids_crc32."""
+    """Every document, from the files read back: doc_id, start, n_tokens, ids_crc32, n_end. Null and empty texts are one end id; a null
+    doc_id comes first; repeated rows are rows of their own; an empty table gives an empty result."""
     path = f"{shared_dir(spark)}/axonlake-token-shards-{uuid.uuid4().hex}"
     write_token_shards(read_table(spark, sf_dir, "documents"), default_tokenizer(), path)
     return read_token_shards(spark, path, with_ids=False)

@@ -43,11 +43,37 @@ def test_decoding_any_ids(seq):
 @pytest.mark.parametrize("piece", ["a" * 20_000, "ab" * 9_000, "the" * 7_000, "=" * 9_001, "1234567890" * 900, "thousandsofwordswithoutspace" * 400])
 def test_transducer_on_long_pieces(piece):
     want = LIBRARY.encode(piece, add_special_tokens=False).ids
-    step, out = bpe.PieceEncoder(VOCAB), []
+    step, out, emitted_early = bpe.PieceTransducer(VOCAB), [], 0
     for at in range(0, len(piece), 777):
         out += step.feed(piece[at : at + 777].encode())
-        assert len(step.held) <= 2 * VOCAB.lookahead + 777
-    assert out + step.finish() == want
+        emitted_early += bool(out)
+        assert len(step.held) <= 2 * step.EVERY
+    assert emitted_early and out + step.finish() == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(ALPHABET, max_size=40).map("".join), st.integers(1, 9), st.sampled_from([2, 30, 1024]))
+def test_blocks_of_any_size_give_the_same_ids(text, size, run):
+    enc = bpe.Encoder(VOCAB, cache=50)
+    enc.RUN = run
+    got = b"".join([*(enc.feed(text[i : i + size]) for i in range(0, len(text), size)), enc.finish()])
+    assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["the river thnd, stone\n", "ab"])
+def test_memory_is_flat_on_long_texts(unit):
+    """A text of 2 blocks and then one of 16: what is held while it runs does not grow."""
+    import tracemalloc
+
+    enc, dec, block = bpe.Encoder(VOCAB), bpe.Decoder(VOCAB), unit * (16384 // len(unit))
+    bpe.round_trip_digests([block] * 2, enc, dec)
+    peaks = []
+    for times in (2, 16):
+        tracemalloc.start()
+        bpe.round_trip_digests((block for _ in range(times)), enc, dec)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] + 50_000
 
 
 def test_lookahead_is_a_constant_of_the_merge_list():
@@ -82,6 +108,7 @@ def test_wavelet_matrix(values, draw):
         v = int(a[i])
         assert wm.occurrences(v) == np.flatnonzero(a == v).tolist()
         assert wm.count(v, 0, i) == (a[:i] == v).sum()
+        assert wm.count_ranges(v, np.array([0, i, 0]), np.array([i, len(a), len(a)])).tolist() == [(a[:i] == v).sum(), (a[i:] == v).sum(), (a == v).sum()]
     assert wm.count(99_999) == int((a == 99_999).sum())
 
 
@@ -97,7 +124,9 @@ def test_shard_files(spark, tmp_path):
     for g, (i, t) in zip(got, rows):
         want = np.array(LIBRARY.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()
         assert (-1 if g.doc_id is None else g.doc_id, g.start, g.n_tokens) == (i, start, len(want) // 4)
-        assert zlib.crc32(g.ids) == zlib.crc32(want)
+        assert zlib.crc32(g.ids) == zlib.crc32(want) and g.n_end == np.frombuffer(want, "<u4").tolist().count(2)
         start += g.n_tokens
+    with pytest.raises(ValueError):
+        token_files.write_token_shards(docs, PATH, path + "t", id_col="id")
     token_files.write_token_shards(data.empty(spark), PATH, path + "0")
     assert token_files.read_token_shards(spark, path + "0").count() == 0
