@@ -257,3 +257,33 @@ def ordered_groups(rows: DataFrame, order: list[str], group: str = "grp") -> Dat
     """rows with `position` of their group in a custom order, from 1; groups not listed come last."""
     at = F.array_position(F.array(*map(F.lit, order)), F.col(group))
     return rows.withColumn("position", F.when(at > 0, at).otherwise(len(order) + 1))
+
+
+def participation_residual(participation: DataFrame, communities: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, residual): participation (keys, node, pc) less its least-squares line on the size of the node's community. Members without edges
+    take part in the fit with 0 and have residual 0; so has every node where all communities are of one size."""
+    size = communities.groupBy(*keys, "community").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    p = communities.join(size, [*keys, "community"]).join(participation.select(*keys, "node", "pc"), [*keys, "node"], "left").withColumn("y", F.coalesce("pc", F.lit(0.0)))
+    line = p.groupBy(*keys).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.regr_slope("y", "size").alias("slope"), F.regr_intercept("y", "size").alias("level"))
+    fitted = (F.col("pc").isNotNull()) & (F.col("least") < F.col("most"))
+    return p.join(line, keys).select(*keys, "node", F.when(fitted, F.col("y") - F.col("level") - F.col("slope") * F.col("size")).otherwise(0.0).alias("residual"))
+
+
+def gateway(edges: DataFrame, communities: DataFrame, keys: list[str], centrality: DataFrame | None = None) -> DataFrame:
+    """(keys, node, gateway): participation whose shares are weighed by how much of the link between two communities runs through the node and how
+    central its neighbours there are (Vargas and Wahl 2014). Weights are positive; centrality (keys, node, value) is the strength if not given."""
+    s = both_ways(edges, keys)
+    value = centrality if centrality is not None else s.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("w").alias("value"))
+    members = communities.select(*keys, "node", "community")
+    ends = members.join(value.select(*keys, "node", "value"), [*keys, "node"], "left")
+    top = ends.groupBy(*keys, "community").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("size"))
+    most = top.groupBy(*keys).agg(F.max("v").alias("most"))
+    to = s.join(ends.withColumnRenamed("node", "dst"), [*keys, "dst"]).groupBy(*keys, "src", "community").agg(F.sum("w").alias("k"), F.sum("value").alias("c"))
+    own = to.join(members.select(*keys, F.col("node").alias("src"), F.col("community").alias("own")), [*keys, "src"])
+    halved = F.when(F.col("own") == F.col("community"), 2.0).otherwise(1.0)
+    links = own.groupBy(*keys, "own", "community").agg(F.sum("k").alias("links")).join(top.select(*keys, F.col("community").alias("own"), "size"), [*keys, "own"])
+    links = links.select(*keys, "own", "community", F.when(F.col("size") > 1, F.col("links") / halved).alias("links"))
+    g = own.join(links, [*keys, "own", "community"]).join(most, keys)
+    kept = 1 - F.coalesce(F.try_divide("k", "links") * F.try_divide("c", "most"), F.lit(0.0))
+    part = g.select(*keys, "src", "k", (F.col("k") * F.col("k") * kept * kept).alias("x")).groupBy(*keys, F.col("src").alias("node")).agg(F.sum("x").alias("x"), F.sum("k").alias("k"))
+    return part.select(*keys, "node", F.when(F.col("k") > 0, 1 - F.col("x") / (F.col("k") * F.col("k"))).otherwise(0.0).alias("gateway"))

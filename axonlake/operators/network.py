@@ -323,11 +323,15 @@ def walks(edges: DataFrame, keys: list[str], length: int) -> DataFrame:
     return out
 
 
-def agreement(partitions: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
-    """(keys, src, dst, n): runs that put a pair into one community."""
+def agreement(partitions: DataFrame, keys: list[str], run: str = "run", weights: DataFrame | None = None) -> DataFrame:
+    """(keys, src, dst, n): runs that put a pair into one community; with weights (keys, run, weight), the share of weight of these runs."""
     a = partitions.select(*keys, run, "community", F.col("node").alias("src"))
     b = partitions.select(*keys, run, "community", F.col("node").alias("dst"))
-    return a.join(b, [*keys, run, "community"]).filter("src < dst").groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    together = a.join(b, [*keys, run, "community"]).filter("src < dst")
+    if weights is None:
+        return together.groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    share = weights.join(weights.groupBy(*keys).agg(F.sum("weight").alias("__all")), keys).select(*keys, run, F.try_divide("weight", "__all").alias("__share"))
+    return together.join(share, [*keys, run]).groupBy(*keys, "src", "dst").agg(F.sum("__share").alias("n"))
 
 
 def partition_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

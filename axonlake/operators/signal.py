@@ -330,3 +330,9 @@ def resample(frames: DataFrame, fs: float, target: float, value: str = "f", keys
     out = near.withColumn("__w", weight).groupBy(*keys, "bin").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias(value), F.max("frame").alias("__last"))
     last = frames.groupBy(*keys).agg(F.max("frame").alias("__end"))
     return out.join(last, keys).filter(F.col("bin") * step <= F.col("__end")).drop("__last", "__end")
+
+
+def keep_cells(rois: DataFrame, peaks: DataFrame | None = None) -> DataFrame:
+    """Imaging regions (rec, roi, is_cell, ..) that are cells; with peaks (rec, roi, ..), only those that have one. A null is_cell is no cell."""
+    cells = rois.filter(F.col("is_cell").cast("boolean"))
+    return cells if peaks is None else cells.join(peaks.select("rec", "roi"), ["rec", "roi"], "left_semi")

@@ -214,3 +214,45 @@ def best_split(rows: DataFrame, value: str) -> DataFrame:
     t = v.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("v")).alias("s"))
     gain = F.col("s1") ** 2 / F.col("n1") + (F.col("s") - F.col("s1")) ** 2 / (F.col("n") - F.col("n1"))
     return a.filter("nxt is not null").join(F.broadcast(t)).agg(F.max_by((F.col("v") + F.col("nxt")) / 2, F.struct(gain, -F.col("v"))).alias("boundary"))  # t is one row
+
+
+def two_way_repeated_anova(rows: DataFrame, keys: list[str], subject: str, a: str, b: str, value: str = "value") -> DataFrame:
+    """(keys, effect, f, df1, df2) for both factors and their interaction, each tested against its own interaction with subjects. Repeated cells are
+    averaged; subjects without every cell, and rows with a null, are left out. f is null where its error is 0 or has no degree of freedom."""
+    x = rows.dropna(subset=[*keys, subject, a, b, value]).groupBy(*keys, F.col(subject).alias("__s"), F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.avg(value).alias("__x"))
+    levels = x.groupBy(*keys).agg(F.count_distinct("__a").alias("__p"), F.count_distinct("__b").alias("__q"))
+    full = x.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c")).join(levels, keys).filter("__c = __p * __q").select(*keys, "__s", "__p", "__q")
+    x = x.join(full, [*keys, "__s"])
+    x = x.join(x.groupBy(*keys).agg(F.avg("__x").alias("__g"), F.count_distinct("__s").alias("__n")), keys).withColumn("__x", F.col("__x") - F.col("__g"))
+    size = ["__n", "__p", "__q"]
+    x = x.withColumn("__m", F.explode(F.sequence(F.lit(0), F.lit(7))))  # which of subject (4), a (2) and b (1) a sum is taken over the levels of
+    of = [F.when(F.col("__m").bitwiseAND(bit) > 0, F.col(c)).alias(c) for bit, c in ((4, "__s"), (2, "__a"), (1, "__b"))]
+    sums = x.groupBy(*keys, *size, "__m", *of).agg((F.sum("__x") * F.sum("__x") / F.count(F.lit(1))).alias("__t"))
+    t = sums.groupBy(*keys, *size).agg(*(F.sum(F.when(F.col("__m") == m, F.col("__t"))).alias(f"__t{m}") for m in range(8)))
+    t0, tb, ta, tab, ts, tsb, tsa, tsab = (F.col(f"__t{m}") for m in range(8))
+    n, p, q = (F.col(c) - 1 for c in size)
+    tests = [(a, ta - t0, p, tsa - ts - ta + t0), (b, tb - t0, q, tsb - ts - tb + t0), (f"{a}:{b}", tab - ta - tb + t0, p * q, tsab - tsa - tsb - tab + ts + ta + tb - t0)]
+    f = lambda ss, df, err: F.when((df > 0) & (n > 0) & (err > 0), (ss / df) / (err / (df * n)))
+    effects = F.array(*(F.struct(F.lit(name).alias("effect"), f(ss, df, err).alias("f"), df.alias("df1"), (df * n).alias("df2")) for name, ss, df, err in tests))
+    return t.select(*keys, F.explode(effects).alias("__e")).select(*keys, "__e.*")
+
+
+def t_quantile(level: float, df: float) -> float:
+    """t with two-sided tail `level`, by bisection of the incomplete beta function in df / (df + t * t)."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if incomplete_beta(df / 2, 0.5, mid) < level else (low, mid)
+    return math.sqrt(df * (1 - high) / high) if high > 0 else math.inf
+
+
+def t_interval(rows: DataFrame, keys: list[str], value: str = "value", level: float = 0.05) -> DataFrame:
+    """(keys, n, mean, sem, half): half the width of the two-sided 1 - level interval of the mean; null for fewer than two values."""
+
+    @F.pandas_udf("double")
+    def quantile(df: pd.Series) -> pd.Series:
+        of = {d: t_quantile(level, d) for d in df.dropna().unique() if d > 0}
+        return df.map(lambda d: of.get(d)).astype("float64")
+
+    s = summary(rows, keys, value)
+    return s.withColumn("half", F.when(F.col("n") > 1, F.col("sem") * quantile((F.col("n") - 1).cast("double"))))

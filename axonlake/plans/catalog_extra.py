@@ -184,3 +184,86 @@ def zscore_burst_counts(spark, d):
     from ..operators import events as ev
 
     return ev.zscore_burst_counts(views.spikes(spark, d), views.channels(spark, d), views.recordings(spark, d), 3600.0, 10, 2.0)
+
+
+@query("imaging_cells", "SELECT s_nationkey AS rec, s_suppkey AS roi FROM supplier WHERE s_acctbal > 0 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)")
+def imaging_cells(spark, d):
+    from ..operators import signal
+
+    rois = views.table(spark, d, "supplier").select(F.col("s_nationkey").alias("rec"), F.col("s_suppkey").alias("roi"), (F.col("s_acctbal") > 0).alias("is_cell"))
+    peaks = views.table(spark, d, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09").select(F.col("l_suppkey").alias("roi")).join(rois.select("rec", "roi"), "roi")
+    return signal.keep_cells(rois, peaks).select("rec", "roi")
+
+
+@query("participation_residual", """WITH m AS (SELECT sym.rec, src, community, sum(w) AS k FROM sym JOIN comm ON comm.rec = sym.rec AND comm.node = dst GROUP BY ALL), p AS (SELECT rec, src AS node, 1 - sum(k * k) / (sum(k) * sum(k)) AS pc FROM m GROUP BY rec, src),
+    z AS (SELECT rec, community, count(*)::DOUBLE AS n FROM comm GROUP BY ALL), a AS (SELECT comm.rec, comm.node, n, pc FROM comm JOIN z USING (rec, community) JOIN p USING (rec, node)),
+    f AS (SELECT rec, min(n) AS lo, max(n) AS hi, regr_slope(pc, n) AS b, regr_intercept(pc, n) AS c FROM a GROUP BY rec)
+    SELECT rec, node, round(CASE WHEN lo < hi THEN pc - c - b * n ELSE 0 END, 6) + 0.0 AS residual FROM a JOIN f USING (rec)""")
+def participation_residual(spark, d):
+    e = views.supplier_edges(spark, d)
+    c = _communities(e)
+    return _rounded(g.participation_residual(network.participation(e, c, KEY), c, KEY))
+
+
+@query("gateway", """WITH q AS (SELECT sym.rec, sym.src, w, community AS o, s AS cent FROM sym JOIN comm ON comm.rec = sym.rec AND comm.node = sym.dst JOIN deg ON deg.rec = sym.rec AND deg.node = sym.dst),
+    p AS (SELECT q.rec, q.src, community AS own, o, sum(w) AS k, sum(cent) AS c FROM q JOIN comm ON comm.rec = q.rec AND comm.node = q.src GROUP BY ALL), z AS (SELECT rec, community AS own, count(*) AS n FROM comm GROUP BY ALL),
+    b AS (SELECT rec, own, o, sum(k) / CASE WHEN own = o THEN 2 ELSE 1 END AS b FROM p GROUP BY rec, own, o), t AS (SELECT comm.rec, sum(s) AS t FROM comm JOIN deg USING (rec, node) GROUP BY comm.rec, community), m AS (SELECT rec, max(t) AS m FROM t GROUP BY rec)
+    SELECT p.rec, src AS node, round(1 - sum(k * k * (1 - CASE WHEN n > 1 THEN k / b * c / m ELSE 0 END) ** 2) / sum(k) ** 2, 6) AS gateway FROM p JOIN z USING (rec, own) JOIN b USING (rec, own, o) JOIN m USING (rec) GROUP BY p.rec, src""")
+def gateway(spark, d):
+    e = views.supplier_edges(spark, d)
+    return _rounded(g.gateway(e, _communities(e), KEY))
+
+
+@query("weighted_agreement", """WITH p AS (SELECT c_nationkey AS rec, c_custkey AS n, unnest([1, 2]) AS run, unnest([c_mktsegment, (c_acctbal > 0)::VARCHAR]) AS community FROM customer)
+    SELECT a.rec, a.n AS src, b.n AS dst, round(sum(CASE a.run WHEN 1 THEN 0.75 ELSE 0.25 END::DOUBLE), 6) AS n FROM p a JOIN p b ON a.rec = b.rec AND a.run = b.run AND a.community = b.community AND a.n < b.n GROUP BY ALL""")
+def weighted_agreement(spark, d):
+    c = views.table(spark, d, "customer")
+    kinds = F.explode(F.array(*(F.struct(F.lit(i).alias("run"), x.alias("community"), F.lit(w).alias("weight")) for i, x, w in ((1, F.col("c_mktsegment"), 3.0), (2, (F.col("c_acctbal") > 0).cast("string"), 1.0)))))
+    p = c.select(F.col("c_nationkey").alias("rec"), F.col("c_custkey").alias("node"), kinds.alias("x")).select("rec", "node", "x.*")
+    return _rounded(network.agreement(p, KEY, weights=p.select("rec", "run", "weight").distinct()))
+
+
+def _cells(spark, d):
+    li = views.table(spark, d, "lineitem").join(views.table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return li.select(F.col("l_linestatus").alias("metric"), F.col("s_nationkey").alias("subject"), (F.col("l_discount") > 0.05).alias("a"), F.col("l_linenumber").alias("b"), F.col("l_extendedprice").alias("value"))
+
+
+@query("two_way_repeated_anova", """WITH v AS (SELECT l_linestatus AS metric, s_nationkey AS s, l_discount > 0.05 AS a, l_linenumber AS b, avg(l_extendedprice) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+    z AS (SELECT metric, count(DISTINCT a) * count(DISTINCT b) AS n FROM v GROUP BY metric), h AS (SELECT metric, s FROM v JOIN z USING (metric) GROUP BY metric, s, n HAVING count(*) = n),
+    w AS (SELECT metric, s, a, b, x, avg(x) OVER (PARTITION BY metric) AS g, avg(x) OVER (PARTITION BY metric, s) AS ms, avg(x) OVER (PARTITION BY metric, a) AS ma, avg(x) OVER (PARTITION BY metric, b) AS mb,
+    avg(x) OVER (PARTITION BY metric, s, a) AS msa, avg(x) OVER (PARTITION BY metric, s, b) AS msb, avg(x) OVER (PARTITION BY metric, a, b) AS mab FROM v JOIN h USING (metric, s)),
+    t AS (SELECT metric, count(DISTINCT s) - 1 AS n, count(DISTINCT a) - 1 AS p, count(DISTINCT b) - 1 AS q, sum((ma - g) ** 2) AS ssa, sum((mb - g) ** 2) AS ssb, sum((mab - ma - mb + g) ** 2) AS ssab, sum((msa - ms - ma + g) ** 2) AS ea,
+    sum((msb - ms - mb + g) ** 2) AS eb, sum((x - msa - msb - mab + ms + ma + mb - g) ** 2) AS eab FROM w GROUP BY metric)
+    SELECT metric, 'a' AS effect, round(ssa / p / (ea / (p * n)), 4) AS f, p AS df1, p * n AS df2 FROM t UNION ALL SELECT metric, 'b', round(ssb / q / (eb / (q * n)), 4), q, q * n FROM t
+    UNION ALL SELECT metric, 'a:b', round(ssab / (p * q) / (eab / (p * q * n)), 4), p * q, p * q * n FROM t""")
+def two_way_repeated_anova(spark, d):
+    from ..operators import stats
+
+    return _rounded(stats.two_way_repeated_anova(_cells(spark, d), ["metric"], "subject", "a", "b"), 4)
+
+
+@query("metric_intervals")
+def metric_intervals(spark, d):
+    from ..operators import stats
+
+    return _rounded(stats.t_interval(_cells(spark, d), ["metric", "subject"]), 4)
+
+
+@query("onset_blank_snap", """WITH e AS (SELECT event_type AS rec, user_id % 16 AS ch, event_id AS i, value AS v FROM events), m AS (SELECT rec, ch, quantile_cont(v, 0.5) AS mid, avg(v) AS mu FROM e GROUP BY ALL),
+    s AS (SELECT e.rec, e.ch, quantile_cont(abs(v - mu), 0.5) AS mad FROM e JOIN m USING (rec, ch) GROUP BY ALL), h AS (SELECT e.rec, e.ch, i + 1 AS t FROM e JOIN m USING (rec, ch) JOIN s USING (rec, ch) WHERE abs(v - mid) > 3 * mad),
+    b AS (SELECT h.rec, h.ch, (SELECT max(i) FROM e WHERE e.rec = h.rec AND e.ch = 0 AND e.i < h.t) AS ts FROM h) SELECT rec, ch, ts::DOUBLE AS ts FROM b WHERE ts IS NOT NULL""")
+def onset_blank_snap(spark, d):
+    from ..operators import stimulus
+
+    s = views.table(spark, d, "events").select(F.col("event_type").alias("rec"), (F.col("user_id") % 16).alias("ch"), F.col("event_id").alias("frame"), F.col("value").alias("v"))
+    template = s.filter("ch = 0").select("rec", F.col("frame").cast("double").alias("ts"))
+    return stimulus.onsets_by_median_z(s, template, 3.0, 0, 1.0)
+
+
+@query("response_table")
+def response_table(spark, d):
+    from ..operators import stimulus
+    from .catalog import _stim
+
+    s = views.spikes(spark, d)
+    return _rounded(stimulus.response_table(s, _stim(spark, d), views.channels(spark, d), 0.0, 7200.0, 60.0, fwhm=600.0, points=200, stimulated=s.filter("ch = 0").select("rec", "ch")))
