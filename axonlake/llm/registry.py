@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hmm_lm, html_extract, langid, pieces, prefix_trie, simhash, token_files, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, hmm_lm, html_extract, langid, lexical_search, pieces, prefix_trie, simhash, token_files, toxicity, url_filter
 
-MODULES = (hmm_lm, token_files, simhash, decontaminate, html_extract, url_filter, toxicity, bpe, langid, exact_dedup, pieces, prefix_trie)
+MODULES = (hmm_lm, token_files, simhash, decontaminate, html_extract, url_filter, toxicity, bpe, langid, exact_dedup, pieces, prefix_trie, lexical_search)
 
 
 def queries() -> dict:
