@@ -5,10 +5,13 @@ product of both matrices is one table (buckets x languages), so a prediction is
 
 Rejection is calibrated on rows left out of training, in two ways. The softmax only compares the languages with each other, so its
 probability, scaled by a fitted temperature, rejects what lies between them. Whether a text is of any of them is told by its subwords:
-three-character sequences that the training rows of the predicted language did not contain. Their share in left-out rows and their share
-in the same rows with all letters shuffled are taken, and the geometric mean of both is the share that still counts as normal. A text is
-rejected if it has more than that by a margin of `deviations` standard deviations for its length, so that one odd word does not reject a
-short text.
+distinct three-character sequences that the training rows of the predicted language did not contain. Each counts once however often the text
+repeats it, so a text and its repeats get one verdict. What counts as foreign is taken from left-out rows with all letters shuffled, which
+keep the language's letters but not their order: a text is rejected if its share of unknown sequences is above nearly all of theirs by a
+margin of `deviations` standard deviations for its number of distinct sequences. Rows of the other learned languages are no measure
+of it: their shares are below those of plain text of the language beyond the training vocabulary, and telling the learned languages
+apart is the softmax's work. A language of which fewer than KNOWN_ENOUGH sequences are known rejects nothing in this way: so little says
+too little about what else belongs to it.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import byte_ngram_hashes, crc_mod, read_table
 
-ORDERS, STRETCH, KNOWN_BITS = (3, 4), 1 << 20, 20
+ORDERS, STRETCH, KNOWN_BITS, KNOWN_ENOUGH = (3, 4), 1 << 20, 20, 500
+SMOOTHING = 0.01  # share of the calibration's targets that is spread over all languages
 _letter = regex.compile(r"\p{L}").search
 _not_letters = re.compile(r"[\W\d_]+").sub
 
@@ -37,18 +41,34 @@ class LanguageModel:
     temperature: float
     reject_below: float
     known: np.ndarray  # languages x KNOWN_BITS buckets: whether a training row has such a sequence
-    strange: float  # share of unknown sequences that is still normal
+    strange: np.ndarray  # of each language: share of unknown sequences that is still normal
 
     def unknown_shares(self, text: str, language: int) -> tuple[int, int]:
-        """(sequences of the text, those unknown in the language); the text is taken in stretches."""
-        n = missing = 0
+        """(distinct sequences of the text, those unknown in the language); the text is taken in stretches."""
+        seen = np.empty(0, np.uint32)
         for h in _sequences(text):
+            seen = np.union1d(seen, h)
+        return len(seen), len(seen) - int(np.count_nonzero(self.known[language][seen]))
+
+    def is_strange(self, language: int, n: int, missing: int, deviations: float = 2.0) -> bool:
+        if np.count_nonzero(self.known[language]) < KNOWN_ENOUGH:
+            return False
+        normal = self.strange[language]
+        return missing > n * normal + deviations * (n * normal * (1 - normal)) ** 0.5
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether it is rejected) of one text."""
+        if text is None or not self.languages or not _letter(text):
+            return "und", 0.0, True
+        total, n = np.zeros(len(self.languages)), 0
+        for h in _features(text, self.bits):
+            total += self.table[h].sum(axis=0, dtype=np.float64)
             n += len(h)
-            missing += len(h) - int(np.count_nonzero(self.known[language][h]))
-        return n, missing
-
-    def is_strange(self, n: int, missing: int, deviations: float = 3.0) -> bool:
-        return missing > n * self.strange + deviations * (n * self.strange * (1 - self.strange)) ** 0.5
+        p = _softmax((total / max(1, n) + self.bias) / self.temperature)
+        best = int(p.argmax())
+        n, missing = self.unknown_shares(text, best)
+        strange = self.is_strange(best, n, missing)
+        return self.languages[best], float(p[best]) * (1 - missing / n if strange else 1), bool(strange or p[best] < self.reject_below)
 
 
 def _features(text: str, bits: int):
@@ -77,7 +97,7 @@ def fit(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, epoc
     languages = sorted(set(labels))
     k, rng = len(languages), np.random.RandomState(seed)
     if k == 0:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), bits, 1.0, 0.5, np.zeros((0, 1 << KNOWN_BITS), bool), 0.0)
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), bits, 1.0, 0.5, np.zeros((0, 1 << KNOWN_BITS), bool), np.zeros(0))
     rows = []
     for t in texts:
         h = np.concatenate(list(_features(t, bits)))
@@ -101,24 +121,32 @@ def fit(texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, epoc
     table = emb @ out
     logits = np.array([share @ table[at] + bias for at, share in rows])
     seen = held if held.any() else ~held
-    best, conf = min(((-np.log(_softmax(logits[seen] / t)[np.arange(seen.sum()), y[seen]] + 1e-12).mean(), t) for t in (0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4)), key=lambda p: p[0])[1], None
+    best = min((0.25, 0.5, 0.75, 1, 1.5, 2, 3, 4), key=lambda t: _smoothed_loss(logits[seen] / t, y[seen]))
     conf = _softmax(logits[seen] / best).max(axis=1)
     known = np.zeros((k, 1 << KNOWN_BITS), bool)
     for i in train:
         for h in _sequences(texts[i]):
             known[y[i]][h] = True
-    m = LanguageModel(languages, table.astype(np.float32), bias, bits, float(best), float(min(0.5, np.quantile(conf, 0.001))), known, 0.0)
-    own, mixed = [0.0], [1.0]
-    for i in np.flatnonzero(seen) if held.any() else ():
-        n, missing = m.unknown_shares(texts[i], y[i])
-        if n >= 50:
-            own.append(missing / n)
-            n, missing = m.unknown_shares("".join(rng.permutation(list(texts[i]))), y[i])
-            mixed.append(missing / n if n else 1.0)
-    m.strange = float(np.sqrt(max(0.01, np.quantile(own, 0.999)) * np.quantile(mixed, 0.01)))
+    m = LanguageModel(languages, table.astype(np.float32), bias, bits, float(best), float(min(0.5, np.quantile(conf, 0.001))), known, np.ones(k))
+    left_out = np.flatnonzero(seen) if held.any() else ()
+    mixed = {i: "".join(rng.permutation(list(texts[i]))) for i in left_out}
+
+    def shares(language: int, some: list[str]) -> list[float]:
+        return [missing / n for n, missing in (m.unknown_shares(t, language) for t in some) if n >= 50]
+
+    for j in range(k):
+        own, shuffled = (shares(j, [t[i] for i in left_out if y[i] == j]) for t in (texts, mixed))
+        if own:
+            m.strange[j] = max(np.quantile(own, 0.999), np.quantile(shuffled, 0.01))
     return m
 
 
+def _smoothed_loss(logits: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss against targets that leave SMOOTHING to all languages alike, so that few clear rows do not make the model too sure."""
+    logs = np.log(_softmax(logits) + 1e-12)
+    return float(-((1 - SMOOTHING) * logs[np.arange(len(y)), y] + SMOOTHING * logs.mean(axis=1)).mean())
+
+
 def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 1000, **options) -> LanguageModel:
     """Fit on at most about rows_per_language rows of each language, drawn by a hash of the id; rows without language, or without a letter in
     the text, are left out. The draw is the documented bound of the fit; everything else covers all rows."""
@@ -147,21 +175,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
     def judge(texts):
         import pandas as pd
 
-        m = shared.value
-        out = []
-        for t in texts:
-            if t is None or not m.languages or not _letter(t):
-                out.append(("und", 0.0, True))
-                continue
-            total, n = np.zeros(len(m.languages)), 0
-            for h in _features(t, m.bits):
-                total += m.table[h].sum(axis=0, dtype=np.float64)
-                n += len(h)
-            p = _softmax((total / max(1, n) + m.bias) / m.temperature)
-            best = int(p.argmax())
-            n, missing = m.unknown_shares(t, best)
-            strange = m.is_strange(n, missing)
-            out.append((m.languages[best], float(p[best]) * (1 - missing / n if strange else 1), bool(strange or p[best] < m.reject_below)))
+        out = [shared.value.judge(t) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     return docs.select(*kept, judge(text_col).alias("__l")).select(*kept, "__l.*")

@@ -159,13 +159,62 @@ def test_language_model(spark):
             assert r.lang_pred in model.languages and 0 <= r.score <= 1
     fresh = spark.createDataFrame([(i, data.prose(lang, 25, 5000 + i), lang) for i in range(60) for lang in ("en", "de")], "doc_id long, text string, lang string")
     assert langid.predict_language(fresh, model).filter("lang = lang_pred and not rejected").count() == 120
-    strange = ["これは日本語の文章です。今日は天気がいいですね。", "qwx zzkq pffr xkcd vvjq wwzx", "Zxq", "привет как дела сегодня", "".join(sorted(data.prose("en", 30, 1).replace(" ", ""))), "glpvq wrtz xxkcd bvvnm qjjz"]
-    far = langid.predict_language(spark.createDataFrame([(t,) for t in strange], "text string"), model).collect()
-    assert all(r.rejected and r.lang_pred in model.languages for r in far), far
     none = langid.train_language_model(data.empty(spark))
     assert langid.predict_language(docs, none).filter("lang_pred <> 'und'").count() == 0
 
 
+SYLLABLES = {"en": "the an on re ed st ing ou at en is wh ly ment com ble ness for all with".split(), "de": "sch ei ch ie un ge ten ver ö ü ss er kei lich zu auf ä be ung ste".split()}
+
+
+def invented(lang, n, seed):
+    r = np.random.RandomState(seed)
+    return " ".join("".join(r.choice(SYLLABLES[lang], r.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def wide_model():
+    rows = [(invented(lang, 120, 10 * i + len(lang)), lang) for i in range(150) for lang in ("en", "de")]
+    return langid.fit([t for t, _ in rows], [lang for _, lang in rows])
+
+
+def test_rejection_of_foreign_text(wide_model):
+    assert min(wide_model.known.sum(axis=1)) > langid.KNOWN_ENOUGH
+    for seed in range(40):
+        for lang in ("en", "de"):
+            got = wide_model.judge(invented(lang, 30, 9000 + seed))
+            assert got[0] == lang and not got[2]
+    gibberish = "".join(sorted(invented("en", 60, 1).replace(" ", "")))
+    for text in ["これは日本語の文章です。今日は天気がいいですね。", "qwx zzkq pffr xkcd vvjq wwzx", "привет как дела сегодня", gibberish, "glpvq wrtz xxkcd bvvnm qjjz"]:
+        lang, score, rejected = wide_model.judge(text)
+        assert rejected and lang in ("de", "en") and 0 <= score < 1, text
+
+
+@pytest.mark.parametrize("text", ["one on the line", "qwx zzkq pffr xkcd vvjq wwzx", "schei ungeten verlich", "the zzkq is all"])
+def test_repeating_a_text_keeps_its_verdict(wide_model, text):
+    assert wide_model.judge(text)[::2] == wide_model.judge(" ".join([text] * 10))[::2] == wide_model.judge("\n".join([text] * 3000))[::2]
+
+
+def test_little_knowledge_rejects_nothing_as_strange():
+    rows = [(data.prose(lang, 40, i), lang) for i in range(40) for lang in ("en", "de")]
+    small = langid.fit([t for t, _ in rows], [lang for _, lang in rows])
+    assert max(small.known.sum(axis=1)) < langid.KNOWN_ENOUGH
+    assert not small.judge("no id at all here")[2] and not small.is_strange(0, 100, 100)
+
+
+def test_averaged_embeddings_against_a_plain_version(wide_model):
+    """The score is the softmax of the mean of the table's rows at all n-grams, computed here one n-gram at a time."""
+    for text in [invented("de", 20, 3), invented("en", 20, 4), "ü"]:
+        raw, total, n = text.encode(), np.zeros(2), 0
+        for size in langid.ORDERS:
+            for at in range(len(raw) - size + 1):
+                total += wide_model.table[langid.byte_ngram_hashes(raw[at : at + size], size, wide_model.bits)[0]]
+                n += 1
+        z = (total / max(1, n) + wide_model.bias) / wide_model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score, _ = wide_model.judge(text)
+        assert lang == wide_model.languages[p.argmax()] and (abs(score - p.max()) < 1e-6 or score < p.max())
+
+
 def test_toxicity(spark):
     bad = ["you stupid moron", "pathetic worthless trash", "what an idiot clown"]
     rows = [(i, data.prose("en", 20, i) + " " + (bad[i % 3] if i % 4 == 0 else "fine day") + " " + data.prose("en", 20, i + 1), int(i % 4 == 0)) for i in range(300)]

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from axonlake.llm import decontaminate, simhash
+from axonlake.llm import decontaminate, langid, simhash
 
 from . import data
 from .test_dedup import brute_components, plain_fingerprint
@@ -23,7 +23,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name != "bpe":
             assert now.columns == last.columns
         if name == "language_id":
-            assert sorted(after, key=str) == sorted(((i, t) for i, t in before if any(c.isalpha() for c in t or "")), key=str)
+            model = langid.train_language_model(spark.read.parquet(f"{tmp_path}/documents.parquet").filter(langid.learning_rows()))
+            assert sorted(after, key=str) == sorted(((i, t) for i, t in before if not model.judge(t)[2]), key=str)
+            kept = {t for _, t in after}
+            assert not any(t is None or not any(c.isalpha() for c in t) for t in kept)
+            assert all(t in kept for i, t in before if t and any(c.isalpha() for c in t) and i not in (104, 121)), "plain text goes"
         elif name == "exact_dedup":
             best = {}
             for i, t in before:
