@@ -179,7 +179,7 @@ class LibraryEncoder(Encoder):
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
-        super().__init__(Vocabulary(source), cache=400_000)
+        super().__init__(Vocabulary(source), cache=800_000)
         self.model = Tokenizer.from_str(source).model
         self.chars = np.array([ord(c) for c, _ in sorted(_byte_chars().items(), key=lambda x: x[1])], "<u2")
         merged = {x for pair in self.v.rank for i in pair for x in self.v.bytes[i]}
