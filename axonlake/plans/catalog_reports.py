@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import learning, stimulus
+from ..operators import learning, rate_curves, stimulus
 from ..sources import views
 from . import reports
 from .catalog import _rounded, _stim, _wide, query
@@ -68,3 +68,8 @@ def permutation_importance(spark, d):
 def regression_errors(spark, d):
     li = views.table(spark, d, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax")
     return _rounded(learning.regression_errors(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 3)
+
+
+@query("adaptive_response")
+def adaptive_response(spark, d):
+    return _rounded(rate_curves.adaptive_response(views.spikes(spark, d), _stim(spark, d), -7200.0, 7200.0, points=200), 9)
