@@ -228,67 +228,125 @@ def controllability(edges: DataFrame, keys: list[str]) -> DataFrame:
 # ---- null networks -----------------------------------------------------------------------------------------------------------------
 
 
-def swap_edges(w: np.ndarray, rng: np.random.RandomState, attempts: int, lattice: np.ndarray | None = None) -> np.ndarray:
-    """Degree-preserving double-edge swaps; with a distance matrix, only swaps that bring weight closer to the diagonal."""
-    w = w.copy()
-    i, j = (x.copy() for x in np.nonzero(np.triu(w)))
-    m = len(i)
+def swap_edges(w: np.ndarray, rng: np.random.RandomState, swaps: int, distance: np.ndarray | None = None) -> np.ndarray:
+    """Double-edge swaps that keep every node's number of edges and the multiset of weights; `swaps` times, each looking for a pair of edges
+    at most 1 + twice the mean number of edges of a node and edge times (an unlucky search ends the swap, a network without any pair the work).
+
+    Edges a-b and c-d become a-d and c-b, keeping their weights, where neither is there yet. With a distance between nodes, only swaps after
+    which weight times distance adds up to no more than before are made, so the network moves towards a lattice over that distance.
+    """
+    i, j = (x.tolist() for x in np.nonzero(np.triu(w)))
+    m, n, out = len(i), len(w), w.tolist()
     if m < 2:
-        return w
-    for _ in range(attempts):
-        e, f = rng.randint(0, m, 2)
-        a, b, c, d = i[e], j[e], i[f], j[f]
-        if rng.rand() < 0.5:
-            c, d = d, c
-        if len({a, b, c, d}) < 4 or w[a, d] or w[c, b]:
-            continue
-        x, y = w[a, b], w[c, d]
-        if lattice is not None and lattice[a, b] * x + lattice[c, d] * y < lattice[a, d] * x + lattice[c, b] * y:
-            continue
-        w[a, b] = w[b, a] = w[c, d] = w[d, c] = 0
-        w[a, d] = w[d, a] = x
-        w[c, b] = w[b, c] = y
-        i[e], j[e], i[f], j[f] = min(a, d), max(a, d), min(c, b), max(c, b)
-    return w
+        return w.copy()
+    far = None if distance is None else distance.tolist()
+    tries = 1 + round((2 if far else 1) * m / (n - 1))
+    draws, at = [], 0
+    for _ in range(swaps):
+        for _ in range(tries):
+            if at == len(draws):
+                draws, at = list(zip(rng.randint(0, m, 4096).tolist(), rng.randint(0, m, 4096).tolist(), (rng.rand(4096) < 0.5).tolist())), 0
+            e, f, flip = draws[at]
+            at += 1
+            a, b = i[e], j[e]
+            c, d = (j[f], i[f]) if flip else (i[f], j[f])
+            if a == c or a == d or b == c or b == d or out[a][d] or out[c][b]:
+                continue
+            x, y = out[a][b], out[c][d]
+            if far and far[a][b] * x + far[c][d] * y < far[a][d] * x + far[c][b] * y:
+                continue
+            out[a][b] = out[b][a] = out[c][d] = out[d][c] = 0.0
+            out[a][d] = out[d][a] = x
+            out[c][b] = out[b][c] = y
+            i[e], j[e], i[f], j[f] = a, d, c, b
+            break
+    return np.array(out)
+
+
+def swap_signed(w: np.ndarray, rng: np.random.RandomState, sweeps: int = 5) -> np.ndarray:
+    """Swaps among pairs of nodes that are positive, negative or absent: every node keeps its number of each, and weights their multisets.
+
+    Four different nodes a, b, c, d are drawn; if a-b and c-d are in one state, a-d and c-b in one state, and the two states differ, the two
+    pairs of pairs trade places. There are `sweeps` swaps for each pair of nodes, each with 1 + half the nodes draws at most.
+    """
+    n = len(w)
+    state = np.sign(w)
+    if n < 4 or len(np.unique(state[np.triu_indices(n, 1)])) < 2:
+        return w.copy()
+    out, tries = w.tolist(), 1 + round(n / 2)
+    kind = state.astype(int).tolist()
+    draws, at = [], 0
+    for _ in range(sweeps * n * (n - 1) // 2):
+        for _ in range(tries):
+            if at == len(draws):
+                draws, at = rng.randint(0, n, (8192, 4)).tolist(), 0
+            a, b, c, d = draws[at]
+            at += 1
+            if a == b or a == c or a == d or b == c or b == d or c == d:
+                continue
+            one, other = kind[a][b], kind[a][d]
+            if one == other or kind[c][d] != one or kind[c][b] != other:
+                continue
+            for table in (out, kind):
+                ab, cd, ad, cb = table[a][b], table[c][d], table[a][d], table[c][b]
+                table[a][d] = table[d][a] = ab
+                table[a][b] = table[b][a] = ad
+                table[c][b] = table[b][c] = cd
+                table[c][d] = table[d][c] = cb
+            break
+    return np.array(out)
 
 
 def reassign_weights(topology: np.ndarray, w: np.ndarray, rng: np.random.RandomState, batch: int = 10) -> np.ndarray:
-    """The weights of w on the edges of topology so that node strengths stay close: ranks are matched with the strengths still owed."""
-    i, j = np.nonzero(np.triu(topology))
-    weights, owed, out = np.sort(w[np.triu(w) > 0]), w.sum(1), np.zeros_like(w)
-    while len(i):
-        want = owed[i] * owed[j]
-        order = np.argsort(want, kind="stable")
-        pick = rng.permutation(len(i))[: min(batch, len(i))]
-        e = order[pick]
-        out[i[e], j[e]] = out[j[e], i[e]] = weights[pick]
-        np.subtract.at(owed, i[e], weights[pick])
-        np.subtract.at(owed, j[e], weights[pick])
-        owed = np.maximum(owed, 0)
-        keep = np.ones(len(i), bool)
-        keep[e] = False
-        left = np.ones(len(weights), bool)
-        left[pick] = False
-        i, j, weights = i[keep], j[keep], weights[left]
+    """The weights of w on the edges of topology so that node strengths stay close, for positive and negative edges by themselves: ranks are
+    matched with the product of the strengths still owed, `batch` edges at a time. topology has as many edges of each sign as w."""
+    out = np.zeros_like(w)
+    for sign in (1, -1):
+        part = np.maximum(sign * w, 0)
+        i, j = np.nonzero(np.triu(sign * topology > 0))
+        weights, owed = np.sort(part[np.triu(part) > 0]), part.sum(1)
+        while len(i):
+            order = np.argsort(owed[i] * owed[j], kind="stable")
+            pick = rng.permutation(len(i))[: min(batch, len(i))]
+            e = order[pick]
+            out[i[e], j[e]] = out[j[e], i[e]] = sign * weights[pick]
+            np.subtract.at(owed, i[e], weights[pick])
+            np.subtract.at(owed, j[e], weights[pick])
+            owed = np.maximum(owed, 0)
+            i, j, weights = np.delete(i, e), np.delete(j, e), np.delete(weights, pick)
     return out
 
 
-def ring_distance(n: int) -> np.ndarray:
-    """Distance from the diagonal, with rows wrapped: the bias of lattice networks."""
-    d = np.abs(np.arange(n)[:, None] - np.arange(n)[None])
-    return np.minimum(d, n - d).astype(float)
+def profile_distance(w: np.ndarray) -> np.ndarray:
+    """Euclidean distance between the rows of w: nodes are close if they are connected alike."""
+    square = (w * w).sum(1)
+    return np.sqrt(np.maximum(square[:, None] + square[None] - 2 * w @ w.T, 0))
+
 
+#: Swaps of random and of lattice networks.
+RANDOM_SWAPS, LATTICE_SWAPS = 5_000, 10_000
 
-def null_networks(edges: DataFrame, keys: list[str], reps: int, kind: str = "strength", seed: int = 1, sweeps: int = 5) -> DataFrame:
-    """Edges of `reps` null networks: keys, rep, src, dst, w. kind: swap (degrees kept), strength (swap, then weights put back by strength),
-    lattice (swaps toward the diagonal). Degrees and the multiset of weights are kept by all."""
+
+def null_networks(edges: DataFrame, keys: list[str], reps: int, kind: str = "strength", seed: int = 1, sweeps: int = 5, swaps: int | None = None) -> DataFrame:
+    """Edges of `reps` null networks: keys, rep, src, dst, w. kind:
+
+    swap: `swaps` double-edge swaps (RANDOM_SWAPS). lattice: LATTICE_SWAPS swaps towards the connectivity profiles' distance. signed: swaps
+    among positive, negative and absent pairs, `sweeps` for each pair. strength: the same, then weights put back by strength, signs apart.
+    All keep every node's number of edges and the multiset of weights; the last two keep both for each sign.
+    """
+    if kind not in ("swap", "lattice", "signed", "strength"):
+        raise ValueError(kind)
 
     def fn(nodes, w, key):
-        rng, n = np.random.RandomState(seed_of(seed, kind, *key)), len(w)
-        tries = sweeps * n * (n - 1) // 2
-        out = swap_edges(w, rng, tries, ring_distance(n) if kind == "lattice" else None)
-        if kind == "strength":
-            out = reassign_weights(out, w, rng)
+        rng = np.random.RandomState(seed_of(seed, kind, *key))
+        if kind == "swap":
+            out = swap_edges(w, rng, swaps or RANDOM_SWAPS)
+        elif kind == "lattice":
+            out = swap_edges(w, rng, swaps or LATTICE_SWAPS, profile_distance(w))
+        else:
+            out = swap_signed(w, rng, sweeps)
+            if kind == "strength":
+                out = reassign_weights(out, w, rng)
         i, j = np.nonzero(np.triu(out))
         return {"src": nodes[i], "dst": nodes[j], "w": out[i, j]}
 
