@@ -17,6 +17,7 @@ import gc
 import struct
 import uuid
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,7 @@ class LibraryEncoder(Encoder):
     """Ids by the tokenizers library's model; remembered as in Encoder. Words that are new in a stretch of texts go to the model in one
     call, parted by two bytes that take part in no merge, so that nothing can merge across them."""
 
-    CHUNK, CALL = 1_000_000, 128  # characters of text looked through at a time; words in a call
+    CHUNK, CALL = 300_000, 128  # characters of text looked through at a time; words in a call
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -196,16 +197,18 @@ class LibraryEncoder(Encoder):
     def _learn(self, seen: set[str]) -> None:
         """Have the ids of all words of seen in self.words. A word with a mark after it takes the ids of the word and those of the mark."""
         words, one, two = self.words, self.between_words, self.between_pieces
-        new = [w for w in seen if w not in words]
+        new = set(filterfalse(words.__contains__, seen))
         if len(words) + len(new) > words.limit:
             words.old = dict(words)
             words.clear()
-            new = list(seen)
-        old = words.old
-        words.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in old and one not in w and two not in w and len(w) <= LONGEST_KEPT]
+            new = seen
+        if carried := list(filter(words.old.__contains__, new)):
+            words.update(zip(carried, map(words.old.__getitem__, carried)))
+            new = new.difference(carried)
+        if max(map(len, new), default=0) > LONGEST_KEPT or any(c in x for x in (" ".join(new),) for c in (one, two)):
+            new = {w for w in new if one not in w and two not in w and len(w) <= LONGEST_KEPT}
         marked = [w for w in new if w[-1:] in PLAIN_MARKS and w[:-1].isalpha()]
-        new = list({*new, *(w[:-1] for w in marked if w[:-1] not in words)}.difference(marked))
+        new = list({*new, *filterfalse(words.__contains__, [w[:-1] for w in marked])}.difference(marked))
         for at in range(0, len(new), self.CALL):
             part = new[at : at + self.CALL]
             ids = self._model_ids(one.join(" " + w if w.isalpha() else two.join(self.find(" " + w)) for w in part))
