@@ -18,8 +18,9 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, pairs.u == least.u_).select("u", "v", "m")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
-    """(node, component) for every node of an edge; component is the least node reachable. Loops and repeated edges are harmless."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, staged: list | None = None) -> DataFrame:
+    """(node, component) for every node of an edge; component is the least node reachable. Loops and repeated edges are harmless. The staged table
+    that the result reads is added to `staged`."""
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now, before = stage_table(now, "edges"), None
     for _ in range(max_rounds):
@@ -36,5 +37,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         before = tuple(mark)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if staged is not None:
+        staged.append(now)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(roots)

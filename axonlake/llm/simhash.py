@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only_result, read_table, stage_table, text_bytes
+from .common import drop_staged, only_result, read_table, stage_table, text_bytes
 from .components import connected_components
 
 BLOCKS, AGREE = 8, 4
@@ -77,11 +77,13 @@ def _grid_mask(grid) -> int:
     return _signed(sum(0xFF << (8 * b) for b in grid))
 
 
-def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256) -> DataFrame:
+def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256, staged: list | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all links at max_distance or less.
 
     max_distance is at most 4, as the grids are laid out for it. In cells of up to cell_limit members every link is listed once.
+    Staged tables that the result reads are added to `staged`.
     """
+    staged = [] if staged is None else staged
     if not 0 <= max_distance <= BLOCKS - AGREE:
         raise ValueError("max_distance must be from 0 to 4")
     points = fps.select("fp").distinct().withColumn("point", embed(F.col("fp")))
@@ -89,10 +91,12 @@ def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256) ->
     dealt = points.select("fp", "point", F.explode(cells).alias("c")).select("fp", "point", "c.grid", "c.cell")
     dealt = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grid", "cell"))).filter("n > 1")
     dealt = stage_table(dealt, "simhash-cells")
+    staged.append(dealt)
     exact = F.element_at(F.array(*(F.lit(_grid_mask(g)) for g in GRIDS)), F.col("grid") + 1).bitwiseAND(F.col("fp"))
     parted = dealt.filter(F.col("n") > cell_limit).withColumn("cell", exact)
     parted = parted.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grid", "cell"))).filter("n > 1")
     parted = stage_table(parted, "simhash-parts")
+    staged.append(parted)
     apart, differ = F.col("a.point").bitwiseXOR(F.col("b.point")), F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     agreed = reduce(Column.bitwiseOR, (F.when(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0, 1 << k).otherwise(0) for k in range(BLOCKS)))
     first = F.element_at(F.array(*map(F.lit, FIRST_GRID)), agreed + 1)
@@ -113,6 +117,7 @@ def near_links(fps: DataFrame, max_distance: int = 4, cell_limit: int = 256) ->
     flips = [0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)]
     flips = F.array(*(F.struct(F.lit(_signed(x)).alias("x"), F.lit(x.bit_count()).alias("d")) for x in flips if x.bit_count() <= (max_distance + 1) // 2))
     members = stage_table(large.select("fp").distinct(), "simhash-large")
+    staged.append(members)
     around = members.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip.x")).alias("mid"), "flip.d")
     root = around.filter(F.col("d") <= max_distance // 2).groupBy("mid").agg(F.min("fp").alias("a"))
     linked = around.join(root, "mid").filter("a <> fp").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
@@ -126,7 +131,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     fp = stage_table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = stage_table(fp.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-classes")
-    parts = stage_table(connected_components(near_links(classes, max_distance, cell_limit)), "fingerprint-parts")
+    links, rounds = [], []
+    parts = stage_table(connected_components(near_links(classes, max_distance, cell_limit, links), staged=rounds), "fingerprint-parts")
+    for x in links + rounds:
+        drop_staged(x)
     named = classes.join(parts, classes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     whole = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = stage_table(named.join(whole, "part").select(F.col("fp").alias("fp_"), "component_id"), "fingerprint-names")
