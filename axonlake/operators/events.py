@@ -272,19 +272,24 @@ def zscore_burst_counts(spikes: DataFrame, channels: DataFrame, recordings: Data
     return z.withColumn("threshold", levels).filter("z >= threshold").groupBy("rec", "threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
-def surrogates_udtf():
-    """A table function surrogates(times array<double>, duration_s, n_rep, seed) -> (rep, t): circularly shifted copies of a train, for SQL users.
-    Register it with spark.udtf.register("surrogates", surrogates_udtf())."""
+def register_surrogates(spark, name: str = "surrogates") -> None:
+    """Register the table function surrogates(rec_no, ch, times, duration_s, fs, n_rep, seed) -> (rep, t): the circularly shifted copies of one train
+    that connectivity.surrogate_trains makes of it, for SQL users (FROM trains, LATERAL surrogates(...)). Null or empty times give no row."""
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="rep int, t double")
     class Surrogates:
-        def eval(self, times, duration_s, n_rep, seed):
-            import random
-
+        def eval(self, rec_no: int, ch: int, times: list, duration_s: float, fs: float, n_rep: int, seed: int):
+            if not times:
+                return
+            n = int(duration_s * fs + 0.5)
+            frames = [int(t * fs + 0.5) for t in times]
             for rep in range(1, n_rep + 1):
-                by = random.Random(seed * 1_000_003 + rep).uniform(0, duration_s)
-                for t in sorted((t + by) % duration_s for t in times or ()):
-                    yield rep, t
-
-    return Surrogates
+                h = 17
+                for part in (seed, rec_no, ch, rep):
+                    h = (h * 48271 + part * 69621 + 12345) % 2147483647
+                by = (h * 48271 + 11) % 2147483647 % n + 1
+                for frame in sorted({f + by - n if f + by > n else f + by for f in frames}):
+                    yield rep, frame / fs
+
+    spark.udtf.register(name, Surrogates)
