@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import learning, rate_curves, stimulus
+from ..operators import learning, mixed, rate_curves, stimulus
 from ..sources import views
 from . import reports
 from .catalog import _rounded, _stim, _wide, query
@@ -73,3 +73,20 @@ def regression_errors(spark, d):
 @query("adaptive_response")
 def adaptive_response(spark, d):
     return _rounded(rate_curves.adaptive_response(views.spikes(spark, d), _stim(spark, d), -7200.0, 7200.0, points=200), 9)
+
+
+def _order_values(spark, d):
+    """(metric, subject, grp, age, value): order totals of customers by year, market segment as group."""
+    o, c = views.table(spark, d, "orders"), views.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("grp"))
+    return o.join(c, "o_custkey").select(F.col("o_orderstatus").alias("metric"), F.col("o_custkey").alias("subject"), "grp", F.year("o_orderdate").alias("age"), (F.col("o_totalprice") / 1e5).alias("value"))
+
+
+@query("mixed_effects")
+def mixed_effects(spark, d):
+    return _rounded(mixed.mixed_effects(_order_values(spark, d), ["metric"], group="grp", interaction=True), 4)
+
+
+@query("mixed_model_comparison")
+def mixed_model_comparison(spark, d):
+    v = _order_values(spark, d)
+    return _rounded(mixed.compare_models(*(mixed.mixed_effects(v, ["metric"], group="grp", interaction=i, restricted=False) for i in (False, True)), ["metric"]), 4)

@@ -1,8 +1,12 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # small matrices; threads of the library would only wait for each other
+    os.environ.setdefault(name, "1")
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
