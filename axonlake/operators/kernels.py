@@ -443,3 +443,35 @@ def nmf_components(counts: DataFrame, keys=("rec",), seed: int = 1) -> DataFrame
     pair = got.groupBy(*keys, "k").agg(F.max(F.when(~F.col("shuffled"), F.col("res"))).alias("a"), F.max(F.when(F.col("shuffled"), F.col("res"))).alias("b"))
     stop = pair.filter("a is null or a >= b").groupBy(*keys).agg(F.min("k").alias("stop"))
     return ranks.join(stop, keys, "left").select(*keys, (F.coalesce("stop", F.col("ranks") + 1) - 1).alias("components"))
+
+
+def nmf_variance(counts: DataFrame, bins: int, keys=("rec",), seed: int = 1, least: int = 1) -> DataFrame:
+    """(keys, k, active, residual, explained): factorisations of the counts (keys, ch, bin, n) of channels with more than `least` events, over
+    `bins` time bins, at every rank k from 1 to the number of those channels. residual is the root mean square error, explained the share of
+    the variance around the grand mean; bins without a row are zeros. Every (network, rank) is a group, so a sweep runs side by side."""
+    keys = list(keys)
+    active = counts.groupBy(*keys, "ch").agg(F.sum("n").alias("s")).filter(F.col("s") > least).drop("s")
+    size = active.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("active"))
+    c = counts.join(active, [*keys, "ch"]).join(size, keys).withColumn("k", F.explode(F.sequence(F.lit(1), "active")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, k = [pdf[x].iloc[0] for x in keys], int(pdf["k"].iloc[0])
+        rows, cols = (np.unique(pdf[x], return_inverse=True)[1] for x in ("bin", "ch"))
+        x = np.zeros((rows.max() + 1, cols.max() + 1))
+        x[rows, cols] = pdf["n"]  # bins without events add neither to the factors nor to the error
+        all_ = bins * x.shape[1]
+        left = _nmf_residual(x, min(k, *x.shape), np.random.RandomState(seed_of(seed, k, *key))) ** 2 * x.size
+        spread = float((x * x).sum() - x.sum() ** 2 / all_)
+        return pd.DataFrame({**{n: [v] for n, v in zip(keys, key)}, "k": [k], "active": [x.shape[1]], "residual": [(left / all_) ** 0.5], "explained": [1 - left / spread if spread > 0 else 0.0]})
+
+    return c.groupBy(*keys, "k").applyInPandas(run, f"{_kinds(counts, keys)}, k int, active int, residual double, explained double")
+
+
+def nmf_dimensions(counts: DataFrame, bins: int, keys=("rec",), share: float = 0.95, seed: int = 1) -> DataFrame:
+    """(keys, active, components, relative, rank): components before the residual reaches that of shuffled counts, the same for each active channel, and
+    the least rank that explains more than `share` of the variance (all channels if none does)."""
+    keys = list(keys)
+    sweep = nmf_variance(counts, bins, keys, seed)
+    rank = sweep.groupBy(*keys).agg(F.first("active").alias("active"), F.coalesce(F.min(F.when(F.col("explained") > share, F.col("k"))), F.first("active")).alias("rank"))
+    both = rank.join(nmf_components(counts, keys, seed), keys, "left")
+    return both.select(*keys, "active", "components", (F.col("components") / F.col("active")).alias("relative"), "rank")

@@ -361,3 +361,51 @@ def motifs3(arcs: DataFrame, keys: list[str]) -> DataFrame:
         table.append(min(sum(arcs_[q[i], q[j]] << b for (i, j), b in zip(((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)), range(5, -1, -1))) for q in permutations(range(3))))
     code = F.col("ab") * 16 + F.col("ad") * 4 + F.col("bd")
     return t.withColumn("motif", F.element_at(F.array(*map(F.lit, table)), code.cast("int") + 1)).groupBy(*keys, "motif").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The six arcs of three nodes a, b, c in the order of a pattern's bits, highest first.
+_ARCS = (("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("b", "c"), ("c", "b"))
+
+
+def _pattern_classes() -> dict[int, int]:
+    """Of every six-bit pattern that connects its three nodes: the least code over the orders of the nodes."""
+    from itertools import permutations
+
+    out = {}
+    for code in range(64):
+        arcs = {arc for k, arc in enumerate(_ARCS) if code >> (5 - k) & 1}
+        if len({frozenset(arc) for arc in arcs}) >= 2:
+            names = [dict(zip("abc", order)) for order in permutations("abc")]
+            out[code] = min(sum(1 << (5 - _ARCS.index((m[x], m[y]))) for x, y in arcs) for m in names)
+    return out
+
+
+def weighted_motifs3(arcs: DataFrame, keys: list[str], functional: bool = False) -> DataFrame:
+    """(keys, node, motif, n, intensity, coherence) of the connected three-node patterns of a directed graph with positive weights w.
+
+    Structural: each three nodes count once, with the pattern of all their arcs; functional: once with every connected pattern among their arcs.
+    A pattern's intensity is the geometric mean of its arcs' weights and its coherence that over their arithmetic mean; both are added up,
+    with the count n, at each of its three nodes. motif as in motifs3. Loops go, arcs that repeat are added up.
+    """
+    w = arcs.filter("src <> dst and w > 0").groupBy(*keys, "src", "dst").agg(F.sum("w").alias("w"))
+    pairs = w.select(*keys, F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.when(F.col("src") < F.col("dst"), F.col("w")).alias("up"), F.when(F.col("src") > F.col("dst"), F.col("w")).alias("down"))
+    pairs = pairs.groupBy(*keys, "u", "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    both = pairs.select(*keys, F.col("u").alias("x"), F.col("v").alias("y")).unionByName(pairs.select(*keys, F.col("v").alias("x"), F.col("u").alias("y")))
+    t = both.join(both.select(*keys, "x", F.col("y").alias("z")), [*keys, "x"]).filter("y < z")
+    t = t.select(*keys, F.sort_array(F.array("x", "y", "z")).alias("s")).distinct().select(*keys, F.col("s")[0].alias("a"), F.col("s")[1].alias("b"), F.col("s")[2].alias("c"))
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        t = t.join(pairs.select(*keys, F.col("u").alias(x), F.col("v").alias(y), F.col("up").alias(f"w_{x}{y}"), F.col("down").alias(f"w_{y}{x}")), [*keys, x, y], "left")
+    weight = [F.col(f"w_{x}{y}") for x, y in _ARCS]
+    code = sum((F.when(c.isNotNull(), 1 << (5 - k)).otherwise(0) for k, c in enumerate(weight)), F.lit(0))
+    classes = _pattern_classes()
+    t = t.withColumn("code", code)
+    if functional:
+        within = F.filter(F.array(*map(F.lit, classes)), lambda m: m.bitwiseAND(F.col("code")) == m)
+        t = t.withColumn("code", F.explode(within))
+    used = [F.col("code").bitwiseAND(1 << (5 - k)) > 0 for k in range(6)]
+    size = F.bit_count("code")
+    logs = sum((F.when(u, F.ln(c)).otherwise(0.0) for u, c in zip(used, weight)), F.lit(0.0))
+    mean = sum((F.when(u, c).otherwise(0.0) for u, c in zip(used, weight)), F.lit(0.0)) / size
+    motif = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))[F.col("code")]
+    t = t.select(*keys, motif.alias("motif"), F.explode(F.array("a", "b", "c")).alias("node"), F.exp(logs / size).alias("i"), mean.alias("mean"))
+    return t.groupBy(*keys, "node", "motif").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("intensity"), F.sum(F.col("i") / F.col("mean")).alias("coherence"))

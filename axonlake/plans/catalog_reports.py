@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import learning, mixed, rate_curves, stimulus
+from ..operators import kernels, learning, mixed, neighbours, network, rate_curves, stimulus
 from ..sources import views
 from . import reports
-from .catalog import _rounded, _stim, _wide, query
+from .catalog import KEY, _rounded, _stim, _wide, query, steps
 
 _CFG = reports.Config(lags_ms=(900_000, 1_800_000), surrogates=200, fs=1.0, min_rate=1e-6, burst_events=5, burst_gap=1800.0, channel_burst_events=3, metrics=("degree", "clustering", "size", "density", "degree_mean", "strength_mean"))
 
@@ -90,3 +90,43 @@ def mixed_effects(spark, d):
 def mixed_model_comparison(spark, d):
     v = _order_values(spark, d)
     return _rounded(mixed.compare_models(*(mixed.mixed_effects(v, ["metric"], group="grp", interaction=i, restricted=False) for i in (False, True)), ["metric"]), 4)
+
+
+def _vectors(spark, d):
+    return views.table(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+
+
+@query("nearest_neighbours", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+    SELECT vec_id, rank::INT AS rank, neighbour, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM p) WHERE rank <= 3""")
+def nearest_neighbours(spark, d):
+    return _rounded(neighbours.nearest_neighbours(_vectors(spark, d), [f"x{i}" for i in range(64)], 3, "vec_id"))
+
+
+@query("knn_loss")
+def knn_loss(spark, d):
+    p = neighbours.knn_predictions(_vectors(spark, d), "label", [f"x{i}" for i in range(64)], 3, "vec_id")
+    return _rounded(p.groupBy("label").agg(F.avg((F.col("label") != F.col("predicted")).cast("double")).alias("loss"), F.count(F.lit(1)).alias("n")))
+
+
+@query("nmf_variance")
+def nmf_variance(spark, d):
+    return _rounded(kernels.nmf_variance(_hourly(spark, d), 720), 4)
+
+
+@query("nmf_dimensions")
+def nmf_dimensions(spark, d):
+    return _rounded(kernels.nmf_dimensions(_hourly(spark, d), 720), 4)
+
+
+def _hourly(spark, d):
+    return views.spikes(spark, d).groupBy("rec", "ch", F.floor(F.col("t") / 3600).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("structural_motifs")
+def structural_motifs(spark, d):
+    return _rounded(network.weighted_motifs3(steps(spark, d), KEY), 5)
+
+
+@query("functional_motifs")
+def functional_motifs(spark, d):
+    return _rounded(network.weighted_motifs3(steps(spark, d), KEY, functional=True), 5)
