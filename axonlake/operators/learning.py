@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +92,77 @@ def regression_errors(wide: DataFrame, target: str, features: list[str], folds:
             e = p.select(F.lit(name).alias("model"), F.pow(F.col("prediction") - F.col("y"), F.lit(2.0)).alias("e"))
             out = e if out is None else out.unionByName(e)
     return out.groupBy("model").agg(F.sqrt(F.avg("e")).alias("rmse"))
+
+
+def shuffled_label_losses(wide: DataFrame, label: str, features: list[str], reps: int = 100, folds: int = 2, seed: int = 1, bucket_rows: int = 10_000) -> DataFrame:
+    """(rep, loss, n): cross-validated error of a linear discriminant classifier with the labels as they are (rep 0) and with shuffled labels (reps
+    1 to `reps`), the null that it is held against. Classes weigh as often as they occur.
+
+    Labels trade places within buckets of about bucket_rows rows; a bucket shuffles for all replicates at once and a row carries its label of each.
+    Sums over the rows of a fold, class and replicate and one cross-product matrix of a fold are all that the fits need; predictions of all
+    replicates are one matrix product for each batch of rows. Rows with a null label or feature go; there are at most 1,000 classes.
+    """
+    from ..functions.iterate import cut
+
+    rows = wide.dropna(subset=[label, *features])
+    classes = [r[0] for r in rows.select(label).distinct().orderBy(label).limit(1001).collect()]
+    if len(classes) > 1000:
+        raise ValueError("there are at most 1,000 classes")
+    y = F.create_map(*(F.lit(v) for i, c in enumerate(classes) for v in (c, i)))[F.col(label)] if classes else F.lit(0)
+    at = cut(rows.select(F.monotonically_increasing_id().alias("uid"), y.cast("int").alias("y"), F.array(*(F.col(f).cast("double") for f in features)).alias("x")))
+    buckets = 1 + at.count() // bucket_rows
+    dealt = at.withColumns({"b": F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(buckets)), "fold": F.pmod(F.xxhash64("uid", F.lit(seed + 1)), F.lit(folds)).cast("int")})
+    p, k = len(features), len(classes)
+
+    def shuffle(pdf):
+        pdf = pdf.sort_values("uid", ignore_index=True)
+        rng, real = np.random.RandomState((seed * 1_000_003 + int(pdf["b"].iloc[0])) % 2**32), pdf["y"].to_numpy()
+        labels = np.stack([real, *(rng.permutation(real) for _ in range(reps))], axis=1)
+        return pd.DataFrame({"fold": pdf["fold"], "x": pdf["x"], "labels": list(labels.astype("int32"))})
+
+    z = cut(dealt.groupBy("b").applyInPandas(shuffle, "fold int, x array<double>, labels array<int>"))
+
+    def sums(batches):
+        for pdf in batches:
+            for fold, part in pdf.groupby("fold"):
+                x, labels = np.stack(part["x"]), np.stack(part["labels"])
+                for rep in range(reps + 1):
+                    n, s = np.zeros(k), np.zeros((k, p))
+                    np.add.at(n, labels[:, rep], 1)
+                    np.add.at(s, labels[:, rep], x)
+                    yield pd.DataFrame({"fold": fold, "rep": rep, "v": [np.concatenate([n, s.ravel()])]})
+                yield pd.DataFrame({"fold": fold, "rep": -1, "v": [(x.T @ x).ravel()]})
+
+    parts = z.mapInPandas(sums, "fold int, rep int, v array<double>").select("fold", "rep", F.posexplode("v").alias("i", "v"))
+    got: dict = {}  # one vector of fixed length for each fold and replicate
+    for r in parts.groupBy("fold", "rep", "i").agg(F.sum("v").alias("v")).groupBy("fold", "rep").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).getField("v").alias("v")).collect():
+        got[r["fold"], r["rep"]] = np.array(r["v"])
+    models = np.zeros((folds, reps + 1, p + 1, k))
+    for fold in range(folds):
+        cross = sum((v for (f, rep), v in got.items() if rep < 0 and f != fold), np.zeros(p * p)).reshape(p, p)
+        for rep in range(reps + 1):
+            v = sum((v for (f, r), v in got.items() if r == rep and f != fold), np.zeros(k + k * p))
+            n, s = v[:k], v[k:].reshape(k, p)
+            mean = s / np.maximum(n, 1)[:, None]
+            within = (cross - (mean.T * n) @ mean) / max(1.0, n.sum() - k)
+            slope = np.linalg.pinv(within, hermitian=True) @ mean.T
+            with np.errstate(divide="ignore"):
+                models[fold, rep] = np.vstack([slope, np.log(n / max(1.0, n.sum())) - 0.5 * (mean.T * slope).sum(axis=0)])
+    shared = wide.sparkSession.sparkContext.broadcast(models)  # folds x replicates x features x classes
+
+    def judge(batches):
+        for pdf in batches:
+            for fold, part in pdf.groupby("fold"):
+                x, labels = np.column_stack([np.stack(part["x"]), np.ones(len(part))]), np.stack(part["labels"])
+                wrong = [int((np.nan_to_num(x @ m, nan=-np.inf).argmax(axis=1) != labels[:, rep]).sum()) for rep, m in enumerate(shared.value[fold])]
+                yield pd.DataFrame({"rep": range(reps + 1), "wrong": wrong, "n": len(part)})
+
+    out = z.mapInPandas(judge, "rep int, wrong long, n long").groupBy("rep").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n"))
+    return out.select("rep", (F.col("wrong") / F.col("n")).alias("loss"), "n")
+
+
+def shuffled_label_test(losses: DataFrame) -> DataFrame:
+    """(loss, null_mean, null_sd, p) of the losses by replicate: p is the share of shuffled replicates, the real one counted with them, that do as well."""
+    null = F.when(F.col("rep") > 0, F.col("loss"))
+    one = losses.agg(F.max(F.when(F.col("rep") == 0, F.col("loss"))).alias("loss"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.collect_list(null).alias("all"))  # one number for each replicate
+    return one.select("loss", "null_mean", "null_sd", ((F.size(F.filter("all", lambda x: x <= F.col("loss"))) + 1) / (F.size("all") + 1)).alias("p"))

@@ -450,7 +450,7 @@ def hub_share(spark, d):
 
 
 @query("rich_club", """WITH e AS (SELECT edges.rec, w, least(a.k, b.k) AS k FROM edges JOIN deg a ON a.rec = edges.rec AND a.node = src JOIN deg b ON b.rec = edges.rec AND b.node = dst),
-    c AS (SELECT rec, g.k AS k, sum(w) AS wr, count(*) AS er FROM e JOIN (SELECT unnest(range(1, 61)) AS k) g ON e.k >= g.k GROUP BY rec, g.k),
+    c AS (SELECT rec, g.k AS k, sum(w) AS wr, count(*) AS er FROM e JOIN (SELECT rec AS r, unnest(range(1, max(k) + 1)) AS k FROM e GROUP BY rec) g ON g.r = e.rec AND e.k >= g.k GROUP BY rec, g.k),
     t AS (SELECT rec, row_number() OVER v AS er, sum(w) OVER (PARTITION BY rec ORDER BY w DESC, src, dst ROWS UNBOUNDED PRECEDING) AS top FROM edges WINDOW v AS (PARTITION BY rec ORDER BY w DESC, src, dst))
     SELECT rec, k::INT AS k, round(wr / top, 6) AS rw FROM c JOIN t USING (rec, er)""")
 def rich_club(spark, d):
@@ -582,8 +582,7 @@ def local_efficiency(spark, d):
 
 @query("motifs")
 def motifs(spark, d):
-    o = views.table(spark, d, "orders").select(F.col("o_orderpriority").alias("rec"), (F.col("o_custkey") % 211).alias("src"), (F.col("o_orderkey") % 199).alias("dst")).filter("src <> dst").distinct()
-    return network.motifs3(o, KEY)
+    return network.motifs3(steps(spark, d), KEY)
 
 
 @query("community_agreement")

@@ -55,7 +55,9 @@ def signed_clustering(spark, d):
     return _rounded(g.signed_clustering(_signed(spark, d), KEY))
 
 
-@query("hop_distances", f"WITH RECURSIVE {_ARCS}, w AS (SELECT rec, src, dst, 1 AS d FROM arcs UNION SELECT w.rec, w.src, a.dst, w.d + 1 FROM w JOIN arcs a ON a.rec = w.rec AND a.src = w.dst WHERE w.d < 8) SELECT rec, src, dst, min(d)::INT AS d FROM w WHERE src <> dst GROUP BY ALL")
+@query("hop_distances", f"""WITH RECURSIVE {_ARCS}, w(rec, src, dst, d) USING KEY (rec, src, dst) AS (SELECT rec, src, dst, 1 FROM arcs UNION
+    SELECT x.rec, x.src, x.dst, x.d FROM (SELECT w.rec, w.src, a.dst, min(w.d) + 1 AS d FROM w JOIN arcs a ON a.rec = w.rec AND a.src = w.dst GROUP BY ALL) x
+    LEFT JOIN recurring.w k ON k.rec = x.rec AND k.src = x.src AND k.dst = x.dst WHERE k.d IS NULL) SELECT rec, src, dst, d::INT AS d FROM w WHERE src <> dst""")
 def hop_distances(spark, d):
     return g.hops(_arcs(spark, d), KEY)
 
@@ -183,7 +185,7 @@ def resampled_frames(spark, d):
 def zscore_burst_counts(spark, d):
     from ..operators import events as ev
 
-    return ev.zscore_burst_counts(views.spikes(spark, d), views.channels(spark, d), views.recordings(spark, d), 3600.0, 10, 2.0)
+    return ev.zscore_burst_counts(views.spikes(spark, d), views.channels(spark, d), views.recordings(spark, d), 3600.0)
 
 
 @query("imaging_cells", "SELECT s_nationkey AS rec, s_suppkey AS roi FROM supplier WHERE s_acctbal > 0 AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)")

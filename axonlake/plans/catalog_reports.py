@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import events as ev
-from ..operators import kernels, learning, mixed, neighbours, network, rate_curves, stimulus
+from ..operators import connectivity, kernels, learning, mixed, neighbours, network, rate_curves, stimulus
 from ..sources import views
 from . import reports
-from .catalog import KEY, _rounded, _stim, _wide, query, steps
+from .catalog import KEY, _communities, _rounded, _stim, _wide, query, steps
 
 _CFG = reports.Config(lags_ms=(900_000, 1_800_000), surrogates=200, fs=1.0, min_rate=1e-6, burst_events=5, burst_gap=1800.0, channel_burst_events=3, metrics=("degree", "clustering", "size", "density", "degree_mean", "strength_mean"))
 
@@ -130,3 +130,16 @@ def structural_motifs(spark, d):
 @query("functional_motifs")
 def functional_motifs(spark, d):
     return _rounded(network.weighted_motifs3(steps(spark, d), KEY, functional=True), 5)
+
+
+@query("shuffled_labels")
+def shuffled_labels(spark, d):
+    return _rounded(learning.shuffled_label_test(learning.shuffled_label_losses(_vectors(spark, d), "label", [f"x{i}" for i in range(64)])))
+
+
+@query("wide_null_participation")
+def wide_null_participation(spark, d):
+    """Participation against 100 null networks on recordings of 60 channels."""
+    s = views.table(spark, d, "events").select(F.col("event_type").alias("rec"), (F.col("user_id") % 60).alias("ch"), ((F.unix_micros(F.col("ts").cast("timestamp")) - views.START_US) / 1e6).alias("t"))
+    e = connectivity.sttc(s.distinct(), views.recordings(spark, d), 1800.0)
+    return _rounded(kernels.normalised_participation(e, _communities(e), KEY))
