@@ -56,8 +56,9 @@ def nearest_neighbours(rows: DataFrame, features: list[str], k: int = 1, id_col:
 
     placed = cut(base.withColumn("at", place("x")).select("id", "fold", "x", "at.cell", "at.d"))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d", [i / RINGS for i in range(1, RINGS)], 1000).alias("rings"))
-    dealt = placed.join(cells, "cell").withColumn("ring", F.size(F.filter("rings", lambda r: r < F.col("d"))))
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (RINGS * chunk))))
+    parts = F.least(F.lit(RINGS), F.ceil(F.col("n") / chunk))  # rings of a small pivot are not worth a chunk each
+    dealt = placed.join(cells, "cell").withColumn("ring", F.floor(F.size(F.filter("rings", lambda r: r < F.col("d"))) * parts / RINGS))
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (parts * chunk))))
     chunks = dealt.groupBy("cell", "ring", "salt").agg(F.collect_list(F.struct("id", "fold", "x")).alias("members"), F.min("d").alias("lo"), F.max("d").alias("hi"))
     chunks = cut(chunks.withColumn("chunk", F.struct("cell", "ring", "salt")).drop("ring", "salt"))
     folds = fold_col is not None
