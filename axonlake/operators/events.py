@@ -125,6 +125,24 @@ def channel_burst_summary(spikes: DataFrame, found: DataFrame, recordings: DataF
     return out.select(*TRAIN, (F.coalesce("n_bursts", zero) / (F.col("duration_s") / 60)).alias("burst_rate"), "mean_duration", "rate_in", (F.coalesce("n_in", zero) / F.col("n_all")).alias("fraction_in_bursts"))
 
 
+def array_bursts(spikes: DataFrame, found: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(rec, bursting, burst_rate, in_burst_rate, duration_ms, isi_in_ms, isi_out_ms, fraction): medians over the channels with bursts of bursts per
+    minute, mean events per second inside, mean duration, mean over bursts of the mean gap inside, and mean gap between the events outside;
+    `bursting` lists these channels, `fraction` is events in bursts over all events. Recordings without bursts have an empty list, null medians and
+    fraction 0 (null without events). Gaps of a run add up to its span, so spans and counts suffice."""
+    span = F.col("t1") - F.col("t0")
+    inside = found.groupBy(*TRAIN).agg(F.count(F.lit(1)).alias("bursts"), F.avg(F.try_divide(F.col("n"), span)).alias("in_burst_rate"), F.avg(span * 1000).alias("duration_ms"), F.avg(F.try_divide(span * 1000, F.col("n") - 1)).alias("isi_in_ms"), F.sum("n").alias("n"))
+    left = outside_bursts(spikes, found, list(TRAIN)).groupBy(*TRAIN).agg(F.try_divide((F.max("t") - F.min("t")) * 1000, F.count(F.lit(1)) - 1).alias("isi_out_ms"))
+    c = inside.join(left, list(TRAIN), "left").join(recordings.select("rec", "duration_s"), "rec")
+    c = c.withColumn("burst_rate", F.try_divide(F.col("bursts") * 60, F.col("duration_s")))
+    names = ("burst_rate", "in_burst_rate", "duration_ms", "isi_in_ms", "isi_out_ms")
+    m = c.groupBy("rec").agg(F.sort_array(F.collect_list("ch")).alias("bursting"), *(F.percentile(v, F.lit(0.5)).alias(v) for v in names), F.sum("n").alias("n"))
+    total = spikes.groupBy("rec").agg(F.count(F.lit(1)).alias("all"))
+    none = F.array().cast(f"array<{spikes.schema['ch'].dataType.simpleString()}>")
+    out = recordings.select("rec").join(m, "rec", "left").join(total, "rec", "left")
+    return out.select("rec", F.coalesce("bursting", none).alias("bursting"), *names, (F.coalesce("n", F.lit(0)) / F.col("all")).alias("fraction"))
+
+
 def automatic_gap_threshold(spikes: DataFrame, n: int = 10, cap: float = 0.1, keys=TRAIN) -> DataFrame:
     """(keys, threshold): the valley between the first two peaks of the smoothed log-histogram of spans of n events.
 
@@ -248,10 +266,10 @@ def method_overlap(spikes: DataFrame) -> DataFrame:
     return by.groupBy("rec", F.when(F.col("k") > 1, F.lit("shared")).otherwise(F.col("m")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def outside_bursts(spikes: DataFrame, found: DataFrame) -> DataFrame:
+def outside_bursts(spikes: DataFrame, found: DataFrame, keys=("rec",)) -> DataFrame:
     from .joins import outside_intervals
 
-    return outside_intervals(spikes, found.select("rec", "t0", "t1"), ["rec"])
+    return outside_intervals(spikes, found.select(*keys, "t0", "t1"), list(keys))
 
 
 def in_every_age(rows: DataFrame, subject: str, age: str) -> DataFrame:

@@ -137,15 +137,15 @@ def signed_participation(edges: DataFrame, communities: DataFrame, keys: list[st
     return p.join(n, [*keys, "node"], "full")
 
 
-def binary_rich_club(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, k, nodes, links, share): density among nodes of degree over k."""
+def binary_rich_club(edges: DataFrame, keys: list[str], directed: bool = False) -> DataFrame:
+    """(keys, k, nodes, links, share): density among nodes of degree over k; of arcs if directed, the degree being in-degree plus out-degree."""
     d = degrees(edges, keys, 0.0).select(*keys, "node", "degree")
     top = d.groupBy(*keys).agg(F.max("degree").alias("top"))
     ks = top.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("top") - 1)).alias("k"))
     n = ks.join(d, keys).filter("degree > k").groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("nodes"))
     e = edges.join(d.select(*keys, F.col("node").alias("src"), F.col("degree").alias("a")), [*keys, "src"]).join(d.select(*keys, F.col("node").alias("dst"), F.col("degree").alias("b")), [*keys, "dst"]).select(*keys, F.least("a", "b").alias("low"))
     m = ks.join(e, keys).filter("low > k").groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("links"))
-    return n.join(m, [*keys, "k"], "left").select(*keys, "k", "nodes", F.coalesce("links", F.lit(0)).alias("links"), F.try_divide(2 * F.coalesce("links", F.lit(0)), F.col("nodes") * (F.col("nodes") - 1)).alias("share"))
+    return n.join(m, [*keys, "k"], "left").select(*keys, "k", "nodes", F.coalesce("links", F.lit(0)).alias("links"), F.try_divide((1 if directed else 2) * F.coalesce("links", F.lit(0)), F.col("nodes") * (F.col("nodes") - 1)).alias("share"))
 
 
 def backbone(edges: DataFrame, keys: list[str], max_rounds: int = 32) -> DataFrame:

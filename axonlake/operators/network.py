@@ -217,7 +217,7 @@ def components(edges: DataFrame, keys: list[str], max_rounds: int = 64) -> DataF
 
 
 def k_core(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Edges left when nodes of degree below k are peeled until none is left."""
+    """Edges left when nodes of degree below k are peeled until none is left. Of arcs, the degree is in-degree plus out-degree."""
     now = cut(edges.select(*keys, "src", "dst", "w"))
     while True:
         low = both_ways(now, keys).groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") < k).select(*keys, F.col("src").alias("node"))

@@ -49,13 +49,25 @@ def butter_bandpass(lo: float, hi: float, fs: float, order: int = 3) -> np.ndarr
 
 
 def _sos(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
+    """x through second-order sections from rest. Blocks of about the square root of its length run side by side from rest; what a block's first
+    state adds is then a fixed response, and only the states go from block to block."""
+    n = len(x)
+    size = max(1, math.isqrt(n))
     for b0, b1, b2, a1, a2 in sections:
-        y, z1, z2 = np.empty_like(x), 0.0, 0.0
-        for i, v in enumerate(x):
-            o = b0 * v + z1
-            z1, z2 = b1 * v - a1 * o + z2, b2 * v - a2 * o
-            y[i] = o
-        x = y
+        blocks = np.zeros((-(-n // size), size))
+        blocks.ravel()[:n] = x
+        rest, free = np.empty_like(blocks), np.empty((size, 2))
+        z1, z2, f1, f2 = np.zeros(len(blocks)), np.zeros(len(blocks)), np.array([1.0, 0.0]), np.array([0.0, 1.0])
+        for i in range(size):
+            v, o, f = blocks[:, i], b0 * blocks[:, i] + z1, f1
+            z1, z2, f1, f2 = b1 * v - a1 * o + z2, b2 * v - a2 * o, f2 - a1 * f, -a2 * f
+            rest[:, i], free[i] = o, f
+        state, first = np.zeros(2), np.empty((len(blocks), 2))
+        step = np.array([f1, f2])
+        for k in range(len(blocks)):
+            first[k] = state
+            state = step @ state + (z1[k], z2[k])
+        x = (rest + first @ free.T).ravel()[:n]
     return x
 
 
@@ -199,16 +211,27 @@ def moving_average(rows: DataFrame, keys: list[str], order: str, value: str, wid
 
 
 def savitzky_golay(rows: DataFrame, keys: list[str], order: str, value: str, width: int, degree: int) -> DataFrame:
-    """Polynomial smoothing by fixed coefficients over lags; null within half a window of the ends."""
+    """Polynomial smoothing over `width` points (odd, over `degree`) by fixed coefficients over lags; within half a window of an end, the value there of the
+    polynomial through the first or last `width` points. Null where a series is shorter than `width` or a point of the window is null."""
     h = width // 2
     x = np.arange(-h, h + 1.0)
-    coeff = np.linalg.pinv(np.vander(x, degree + 1))[-1]
+    basis = np.vander(x, degree + 1)
+    fit = basis @ np.linalg.pinv(basis)  # row i: the weights of a window's points for its i-th place
     w = Window.partitionBy(*keys).orderBy(order)
-    terms = [F.lag(value, -int(k)).over(w) * float(c) for k, c in zip(x, coeff)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return rows.withColumn("smooth", total)
+    total = F.lit(0.0)
+    for k, c in zip(x, fit[h]):
+        total = total + F.lag(value, -int(k)).over(w) * float(c)
+    seen = rows.withColumns({"smooth": total, "__i": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    from_end = F.col("__n") - width
+    near = F.struct("__i", F.col(value).cast("double").alias("v"))
+    ends = seen.filter((F.col("__i") < width) | (F.col("__i") >= from_end)).groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.when(c, near))).alias(n) for n, c in (("__head", F.col("__i") < width), ("__tail", F.col("__i") >= from_end))))
+    weights = F.array(*(F.array(*map(F.lit, map(float, r))) for r in fit))
+
+    def value_at(points, place):
+        return F.aggregate(F.zip_with(points, weights[place], lambda p, c: p["v"] * c), F.lit(0.0), lambda a, v: a + v)
+
+    edge = F.when(F.col("__i") < h, value_at(F.col("__head"), F.col("__i"))).when(F.col("__i") >= F.col("__n") - h, value_at(F.col("__tail"), F.col("__i") - from_end)).otherwise(F.col("smooth"))
+    return seen.join(ends, keys).withColumn("smooth", F.when(F.col("__n") >= width, edge)).select(*rows.columns, "smooth")
 
 
 def delta_f(frames: DataFrame, degree: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import connectivity as conn
 from ..operators import events as ev
-from ..operators import joins, kernels, network, signal, stats, stimulus
+from ..operators import joins, kernels, network, signal, stats, stimulus, templates
 from ..sources import tables, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,12 @@ def channel_bursts(spark, d):
     return _rounded(ev.channel_burst_summary(s, ev.bursts(s, 3, 7200.0), rec), 9)
 
 
+@query("array_bursts")
+def array_bursts(spark, d):
+    s, rec = views.spikes(spark, d), views.recordings(spark, d)
+    return _rounded(ev.array_bursts(s, ev.bursts(s, 3, 7200.0), rec), 9)
+
+
 @query("network_bursts")
 def network_bursts(spark, d):
     return _rounded(ev.network_bursts(views.spikes(spark, d), 5, 1800.0, 3))
@@ -723,12 +729,26 @@ def aligned_waveforms(spark, d):
     return _rounded(signal.median_waveform(signal.align_peaks(e, s, bounds=(-1.0, -100.0, 15.0)), ["rec"]))
 
 
+@query("spike_templates")
+def spike_templates(spark, d):
+    s = _samples(spark, d).withColumn("v", -F.col("v"))
+    w = signal.align_peaks(s.filter("v < -150").select("rec", "ch", "frame"), s, bounds=(-1.0, -100.0, 15.0))
+    return _rounded(templates.spike_templates(templates.spike_clusters(w, ["rec", "ch"], "shape", 12500.0, depth=0.2), ["rec", "ch"]))
+
+
 @query("moving_average", "SELECT event_type AS rec, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS smooth FROM events")
 def moving_average(spark, d):
     return _rounded(signal.moving_average(_samples(spark, d), ["rec"], "frame", "v", 9).select("rec", "frame", "smooth"))
 
 
-@query("savitzky_golay")
+_P2, _P3 = "({0} * {0} - 25 * 26 / 3.0)", "({0} * {0} * {0} - {0} * (3 * 25 * 25 + 3 * 25 - 1) / 5.0)"  # discrete orthogonal polynomials on -25..25
+
+
+@query("savitzky_golay", f"""WITH s AS (SELECT event_type AS rec, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS frame, value AS v, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    k AS (SELECT unnest(range(-25, 26))::DOUBLE AS k), z AS (SELECT sum(k * k) AS z1, sum({_P2.format("k")} ** 2) AS z2, sum({_P3.format("k")} ** 2) AS z3 FROM k),
+    c AS (SELECT rec, frame, n, greatest(least(frame, n - 26), 25) AS mid, (frame - greatest(least(frame, n - 26), 25))::DOUBLE AS x FROM s),
+    j AS (SELECT c.rec, c.frame, c.n, c.x, k.k, s.v FROM c CROSS JOIN k JOIN s ON s.rec = c.rec AND s.frame = c.mid + k.k)
+    SELECT rec, frame, round(CASE WHEN n >= 51 THEN m END, 6) AS smooth FROM (SELECT rec, frame, any_value(n) AS n, sum(v * (1 / 51.0 + x * k / z1 + {_P2.format("x")} * {_P2.format("k")} / z2 + {_P3.format("x")} * {_P3.format("k")} / z3)) AS m FROM j CROSS JOIN z GROUP BY rec, frame)""")
 def savitzky_golay(spark, d):
     return _rounded(signal.savitzky_golay(_samples(spark, d), ["rec"], "frame", "v", 51, 3).select("rec", "frame", "smooth"))
 

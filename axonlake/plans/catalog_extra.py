@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.iterate import cut
 from ..operators import graph_extra as g
-from ..operators import network
+from ..operators import density, network
 from ..sources import views
 from .catalog import KEY, _communities, _rounded, query, steps, tiling_network
 
@@ -107,6 +108,20 @@ def binary_rich_club(spark, d):
     return _rounded(g.binary_rich_club(tiling_network(spark, d), KEY))
 
 
+@query("directed_rich_club", f"""WITH {_ARCS}, d AS (SELECT rec, n, count(*) AS k FROM (SELECT rec, src AS n FROM arcs UNION ALL SELECT rec, dst FROM arcs) GROUP BY ALL),
+    ks AS (SELECT rec, unnest(range(max(k))) AS k FROM d GROUP BY rec), a AS (SELECT ks.rec, ks.k, count(*) AS nodes FROM ks JOIN d ON d.rec = ks.rec AND d.k > ks.k GROUP BY ALL),
+    l AS (SELECT s.rec, least(x.k, y.k) AS low, count(*) AS n FROM arcs s JOIN d x ON x.rec = s.rec AND x.n = s.src JOIN d y ON y.rec = s.rec AND y.n = s.dst GROUP BY ALL),
+    m AS (SELECT ks.rec, ks.k, sum(n)::BIGINT AS links FROM ks JOIN l ON l.rec = ks.rec AND l.low > ks.k GROUP BY ALL)
+    SELECT rec, k, nodes, coalesce(links, 0) AS links, round(CASE WHEN nodes > 1 THEN coalesce(links, 0) / (nodes * (nodes - 1)) END, 6) AS share FROM a LEFT JOIN m USING (rec, k)""")
+def directed_rich_club(spark, d):
+    return _rounded(g.binary_rich_club(_arcs(spark, d), KEY, directed=True))
+
+
+@query("directed_core")
+def directed_core(spark, d):
+    return network.k_core(_arcs(spark, d), KEY, 3).select(*KEY, "src", "dst")
+
+
 @query("backbone")
 def backbone(spark, d):
     return g.backbone(tiling_network(spark, d), KEY)
@@ -134,6 +149,15 @@ def role_landscape(spark, d):
     return _rounded(g.landscape(_nodes(spark, d), KEY, 20))
 
 
+@query("role_basins")
+def role_basins(spark, d):
+    n = cut(_nodes(spark, d))  # read six times below
+    basins = density.density_basins(n, KEY, "pc", "z", depth=0.1)
+    top = basins.filter("peak").select(*KEY, "basin", F.col("x").alias("pc"), F.col("y").alias("z"), "density")
+    size = density.basin_of(n, basins, KEY, "pc", "z").groupBy(*KEY, "basin").agg(F.count(F.lit(1)).alias("nodes"))
+    return _rounded(top.join(size, [*KEY, "basin"], "left").select(*top.columns, F.coalesce("nodes", F.lit(0)).alias("nodes")))
+
+
 _MEMBERS = "mem AS (SELECT 1 AS rec, s_suppkey + 1 AS ch, 'a' AS cell_group FROM supplier WHERE s_nationkey % 3 = 0 UNION ALL SELECT 1, s_suppkey + 1, 'b' FROM supplier WHERE s_nationkey % 2 = 0)"
 
 

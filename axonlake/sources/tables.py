@@ -46,6 +46,14 @@ def age_of_name(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"(?i)DIV[\s_-]*(\d+)", 1), F.lit("")).cast("double")
 
 
+def skeleton_roster(names: DataFrame) -> DataFrame:
+    """(rec, div, grp, ground): a roster to be edited, of names (rec): ages where a name tells them, blank groups and no grounded electrodes; each
+    name once, null and blank ones not at all."""
+    rec = F.trim("rec")
+    n = names.select(rec.alias("rec")).filter(F.col("rec") != "").distinct()
+    return n.select("rec", age_of_name(F.col("rec")).alias("div"), F.lit("").alias("grp"), F.array().cast("array<int>").alias("ground"))
+
+
 def plate_and_well(name: Column) -> Column:
     """struct(plate, well) of 'plate_A1' names; nulls for others."""
     pattern = r"^(.*)_([A-H])(\d{1,2})$"
