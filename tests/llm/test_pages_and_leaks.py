@@ -1,5 +1,8 @@
 import re
+import time
+from unittest import mock
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,8 +30,23 @@ def plain_glob(glob, text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("ab/.*", min_size=1, max_size=30), min_size=1, max_size=9), st.lists(st.text("ab/.", max_size=12), min_size=1, max_size=8))
 def test_automaton_matches_regular_expressions(globs, texts):
-    got = url_filter.GlobAutomaton(globs).match([t.encode() for t in texts])
+    for few in (0, 3, 64):  # side by side, both, one by one
+        with mock.patch.object(url_filter, "FEW", few):
+            got = url_filter.GlobAutomaton(globs).match([t.encode() for t in texts])
+        assert got.tolist() == [[plain_glob(g, t) for g in globs] for t in texts]
+
+
+def test_long_urls_are_matched_as_short_ones():
+    globs = ["*.net/**", "a*b", "**/end", "x**y/*z", "n" * 70 + "**q"]
+    auto = url_filter.GlobAutomaton(globs)
+    middle = "ab/" * 200_000
+    texts = [f"h.net/{middle}", f"a{middle}b", f"a{'c' * 300_000}b", f"{middle}end", f"x{middle}y/{'c' * 99}z", "n" * 70 + middle + "q", "n" * 69 + middle + "q", ""] + [f"h.net/{i}" for i in range(200)]
+    began = time.monotonic()
+    got = auto.match([t.encode() for t in texts])
+    assert time.monotonic() - began < 20  # seconds for 3 MB of urls; 34 microseconds a character before
     assert got.tolist() == [[plain_glob(g, t) for g in globs] for t in texts]
+    alone = [auto.match([t.encode()])[0] for t in texts]
+    assert (np.stack(alone) == got).all()
 
 
 def test_url_rules(spark):
