@@ -163,11 +163,10 @@ def automatic_gap_threshold(spikes: DataFrame, n: int = 10, cap: float = 0.1, ke
         h = np.zeros(130)
         ok = pdf["bin"].notna()
         h[pdf["bin"][ok].astype(int)] = pdf["n"][ok]
-        x, smooth = np.arange(130.0), np.empty(130)
-        for i in range(130):
-            lo = min(max(0, i - 4), 121)
-            slope, base = np.polyfit(x[lo : lo + 9], h[lo : lo + 9], 1)
-            smooth[i] = slope * i + base
+        smooth = np.convolve(h, np.ones(9), "same") / 9  # a line's value amid its nine bins is their mean, exact for counts: no peaks by rounding
+        for ends, lo in ((range(4), 0), (range(126, 130), 121)):
+            line = np.polyfit(np.arange(9), h[lo : lo + 9], 1)
+            smooth[ends.start : ends.stop] = [round(float(np.polyval(line, i - lo)), 9) for i in ends]
         peaks = [i for i in range(1, 129) if smooth[i] > smooth[i - 1] and smooth[i] >= smooth[i + 1] and smooth[i] > 0]
         peaks = [p for j, p in enumerate(peaks) if j == 0 or p - peaks[j - 1] >= 2]
         if pdf["distinct_gaps"].iloc[0] <= 10:

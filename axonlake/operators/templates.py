@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.iterate import cut
 from .density import _kinds, basin_of, density_basins
 
 #: Keys whose sums one task holds before it passes them on.
@@ -92,6 +93,7 @@ def spike_clusters(waves: DataFrame, keys: list[str], method: str, fs: float, pe
         raise ValueError(f"unknown method {method}")
     x, y = ("load_1", "load_2") if method == "pca" else ("amplitude", "width")
     f = loadings(waves, keys, principal_axes(waves, keys)) if method == "pca" else shape_features(waves, fs, peak)
+    f = cut(f)  # the bandwidths, the counts and the look-up read it
     return basin_of(f, density_basins(f, keys, x, y, points=points, depth=depth), keys, x, y).withColumnRenamed("basin", "template")
 
 

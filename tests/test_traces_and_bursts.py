@@ -132,3 +132,77 @@ def test_directed_core_and_rich_club(spark):
             nodes, n, share = club[name, k]
             assert (nodes, n) == (len(top), links) and (share is None if len(top) < 2 else share == pytest.approx(links / (len(top) * (len(top) - 1))))
     assert any(k == "thick" for k, *_ in core)
+
+
+@pytest.fixture(scope="module")
+def array(spark):
+    """Trains of six channels with array-wide bursts, as rows and as a table."""
+    r = np.random.RandomState(11)
+    rows = [("a", c, float(t)) for c in range(6) for t in r.uniform(0, 300, 40)]
+    rows += [("a", int(c), float(u + v)) for u in r.uniform(0, 290, 12) for c in r.choice(6, r.randint(1, 6), replace=False) for v in r.uniform(0, 0.4, 6)]
+    rows += [("b", 0, 5.0), ("b", 1, 5.0), ("b", 1, 7.0)]
+    return rows, spark.createDataFrame(rows, "rec string, ch int, t double").cache(), spark.createDataFrame([("a", 300.0), ("b", 300.0), ("none", 300.0)], "rec string, duration_s double")
+
+
+def test_network_bursts_and_summary(spark, array):
+    rows, spikes, rec = array
+    pooled = spark.createDataFrame([("a", t) for t in sorted({t for k, _, t in rows if k == "a"})], "rec string, t double")
+    every = [(x.t0, x.t1, x.n) for x in ev.bursts(pooled, 8, 0.6, ["rec"]).collect()]
+    want = {}
+    for t0, t1, n in every:
+        chs = {c for k, c, t in rows if k == "a" and t0 <= t <= t1}
+        if len(chs) >= 3:
+            want[t0] = (t1, n, len(chs))
+    found = ev.network_bursts(spikes, 8, 0.6, 3).cache()
+    assert {x.t0: (x.t1, x.n, x.channels) for x in found.collect()} == want and 3 <= len(want) < len(every)
+    got = {x.rec: x for x in ev.burst_summary(spikes, found, rec).collect()}
+    starts = sorted(want)
+    gaps = np.array([b - want[a][0] for a, b in zip(starts, starts[1:])])
+    mine = [(k, t) for k, _, t in rows if k == "a"]
+    a = got["a"]
+    assert (a.n_bursts, a.burst_rate) == (len(want), pytest.approx(len(want) / 5))
+    assert a.mean_length == pytest.approx(np.mean([want[s][0] - s for s in starts]))
+    assert a.mean_channels == pytest.approx(np.mean([want[s][2] for s in starts]))
+    assert a.cv_ibi == pytest.approx(gaps.std(ddof=1) / gaps.mean())
+    assert a.fraction_in_bursts == pytest.approx(sum(any(s <= t <= want[s][0] for s in starts) for _, t in mine) / len(mine))
+    assert (got["b"].n_bursts, got["b"].mean_length, got["b"].fraction_in_bursts) == (0, None, 0.0)
+    assert (got["none"].n_bursts, got["none"].fraction_in_bursts) == (0, None)
+
+
+def test_zscore_bursts(spark, array):
+    rows, spikes, rec = array
+    channels = spark.createDataFrame([(k, c) for k in ("a", "b") for c in range(7)], "rec string, ch int")
+    got = {(x.rec, x.bin): x.z for x in ev.zscore_bursts(spikes, channels, rec, 2.0, 0.4).collect()}
+    want = {}
+    for k in ("a", "b"):
+        z = np.zeros(150)
+        for c in range(7):
+            n = np.bincount([int(t // 2) for r_, ch, t in rows if (r_, ch) == (k, c)], minlength=150).astype(float)
+            if n.std():
+                z += (n - n.mean()) / n.std(ddof=1) / 7  # a silent channel adds nothing
+        edge = np.concatenate([[-np.inf], z, [-np.inf]])
+        want |= {(k, i): z[i] for i in range(150) if z[i] >= 0.4 and edge[i] < z[i] - 1e-12 and edge[i + 2] <= z[i] + 1e-12}
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(want) > 3
+
+
+def plain_gap_threshold(t, cap=0.1):
+    """Spans of four events: the valley between the first two peaks of the smoothed histogram of their logarithms."""
+    if len(set(np.diff(t))) <= 10:
+        return cap
+    h = np.histogram(np.log10((t[3:] - t[:-3]) * 1000), bins=-5 + 0.05 * np.arange(131))[0].astype(float)
+    line = np.round([np.polyval(np.polyfit(np.arange(9), h[lo : lo + 9], 1), i - lo) for i in range(130) for lo in [min(max(i - 4, 0), 121)]], 9)
+    tops = [i for i in range(1, 129) if line[i - 1] < line[i] >= line[i + 1] and line[i] > 0]
+    apart = [p for i, p in enumerate(tops) if not i or p - tops[i - 1] >= 2]
+    if len(apart) < 2:
+        return 0.0 if np.diff(t).max() < cap else cap
+    return min(cap, 10 ** (0.05 * min(range(apart[0], apart[1] + 1), key=lambda i: (line[i], i)) - 5) / 1000)
+
+
+def test_automatic_gap_threshold(spark):
+    r = np.random.RandomState(12)
+    two = np.cumsum(np.where(r.rand(3000) < 0.02, r.lognormal(np.log(0.012), 0.2, 3000), r.lognormal(np.log(0.0002), 0.3, 3000)))
+    trains = {0: two, 1: np.arange(8) * 0.5, 2: np.cumsum(r.lognormal(np.log(0.005), 0.05, 500)), 3: np.cumsum(r.lognormal(np.log(5.0), 0.05, 500))}
+    spikes = spark.createDataFrame([("a", c, float(t)) for c, ts in trains.items() for t in ts], "rec string, ch int, t double")
+    got = {x.ch: x.threshold for x in ev.automatic_gap_threshold(spikes, 4).collect()}
+    assert got == {c: pytest.approx(plain_gap_threshold(t)) for c, t in trains.items()}
+    assert got[1] == 0.1 and got[3] == 0.1 and 0.0006 < got[0] < 0.012
