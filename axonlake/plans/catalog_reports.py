@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.iterate import cut
 from ..operators import events as ev
 from ..operators import connectivity, kernels, learning, mixed, neighbours, network, rate_curves, stimulus
 from ..sources import views
@@ -141,5 +142,5 @@ def shuffled_labels(spark, d):
 def wide_null_participation(spark, d):
     """Participation against 100 null networks on recordings of 60 channels."""
     s = views.table(spark, d, "events").select(F.col("event_type").alias("rec"), (F.col("user_id") % 60).alias("ch"), ((F.unix_micros(F.col("ts").cast("timestamp")) - views.START_US) / 1e6).alias("t"))
-    e = connectivity.sttc(s.distinct(), views.recordings(spark, d), 1800.0)
+    e = cut(connectivity.sttc(s.distinct(), views.recordings(spark, d), 1800.0))  # read four times below
     return _rounded(kernels.normalised_participation(e, _communities(e), KEY))

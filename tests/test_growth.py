@@ -17,3 +17,36 @@ def test_forward_look_up_has_a_growing_frame(spark):
         want = sorted((t, min((x for x in b if x > t or (not strict and x == t)), default=-1.0)) for t in a)
         assert sorted((r.t, -1.0 if r.v is None else r.v) for r in df.collect()) == want
         assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_coincidences_of_dense_trains(spark):
+    """Two channels of 60,000 events within one bucket each way: 3.6e9 near pairs, one row of each channel to meet."""
+    ids = spark.range(120_000)
+    dense = ids.selectExpr("'r' rec", "id % 2 ch", "id / 1e5 t")
+    assert {(x.a, x.b): x.hits for x in connectivity.coincidences(dense, 2.0).collect()} == {(0, 1): 60_000, (1, 0): 60_000}
+
+
+def test_coincidences_match_all_pairs(spark):
+    rng = random.Random(5)
+    rows = sorted({("r", rng.randrange(4), rng.randrange(400) / 8) for _ in range(150)}) + [("s", 1, 0.5)]
+    for dt in (0.125, 0.5, 3.0):
+        want = {}
+        for rec, a, t in rows:
+            for b in {c for r, c, u in rows if r == rec and c != a and abs(u - t) <= dt}:
+                want[rec, a, b] = want.get((rec, a, b), 0) + 1
+        got = connectivity.coincidences(spark.createDataFrame(rows, "rec string, ch long, t double"), dt).collect()
+        assert {(x.rec, x.a, x.b): x.hits for x in got} == want
+
+
+def test_spans_of_a_dense_train_are_few():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for near in (0, 1, 7):
+        x, y = (np.unique(rng.integers(0, 500, 60)) for _ in range(2))
+        first, last = connectivity._spans(x, near)
+        assert (np.searchsorted(y, last, "right") - np.searchsorted(y, first, "left")).sum() == sum(np.abs(x - v).min() <= near for v in y)
+    assert len(connectivity._spans(np.arange(100_000), 1)[0]) == 1
+    for by in (1, 200, 500):
+        moved = np.array([0, 3, 250, 499, 500]) + by
+        assert connectivity._turned(np.array([0, 3, 250, 499, 500]), by, 500).tolist() == sorted({int(v - 500 if v > 500 else v) for v in moved})
