@@ -50,3 +50,27 @@ def test_spans_of_a_dense_train_are_few():
     for by in (1, 200, 500):
         moved = np.array([0, 3, 250, 499, 500]) + by
         assert connectivity._turned(np.array([0, 3, 250, 499, 500]), by, 500).tolist() == sorted({int(v - 500 if v > 500 else v) for v in moved})
+
+
+def test_motifs_of_a_star_list_no_triples(spark):
+    """A hub of 40,000 neighbours has 8e8 open triples, all of one pattern."""
+    from axonlake.operators import network
+
+    n = 40_000
+    arcs = spark.range(1, n + 1).selectExpr("'r' rec", "0L src", "id dst", "2.0D w")
+    assert [x.n for x in network.motifs3(arcs, KEY).collect()] == [n * (n - 1) // 2]
+    for functional in (False, True):
+        rows = network.weighted_motifs3(arcs, KEY, functional).selectExpr("node = 0 hub", "n", "round(intensity, 3) i", "round(coherence, 3) c").distinct().collect()
+        assert sorted(tuple(r) for r in rows) == [(False, n - 1, 2.0 * (n - 1), 1.0 * (n - 1)), (True, n * (n - 1) // 2, 1.0 * n * (n - 1), n * (n - 1) / 2)]
+
+
+def test_triples_match_all_threes(spark):
+    from itertools import combinations
+
+    from axonlake.operators import network
+
+    rng = random.Random(8)
+    pairs = {p for p in combinations(range(25), 2) if rng.random() < 0.3}
+    df = spark.createDataFrame([("r", *p) for p in pairs], "rec string, u long, v long")
+    want = [t for t in combinations(range(25), 3) if pairs.issuperset(combinations(t, 2))]
+    assert sorted((x.a, x.b, x.c) for x in network._triples(df, KEY).collect()) == want
