@@ -74,3 +74,37 @@ def test_triples_match_all_threes(spark):
     df = spark.createDataFrame([("r", *p) for p in pairs], "rec string, u long, v long")
     want = [t for t in combinations(range(25), 3) if pairs.issuperset(combinations(t, 2))]
     assert sorted((x.a, x.b, x.c) for x in network._triples(df, KEY).collect()) == want
+
+
+def test_distances_in_blocks_of_sources(spark, monkeypatch):
+    """Several components and blocks; a ring of 300 nodes, whose ways took more rounds of joins than were allowed for hops."""
+    import math
+
+    from axonlake.operators import graph_extra, kernels, network
+
+    monkeypatch.setattr(kernels, "GROUP_DISTANCES", 30_000)
+    rng = random.Random(4)
+    arcs = {("r", i, (i + 1) % 300): 1.0 for i in range(300)} | {("r", 1000 + i, 1000 + j): rng.choice([0.5, 1.0, 2.0]) for i in range(30) for j in range(30) if i < j and rng.random() < 0.1} | {("s", 1, 2): 4.0}
+    df = spark.createDataFrame([(*k, w) for k, w in arcs.items()], "rec string, src long, dst long, w double")
+
+    def plain(steps):
+        out = {}
+        for start in {x[:2] for x in steps}:
+            best, todo = {start[1]: 0.0}, [start[1]]
+            while todo:
+                u = todo.pop(0)
+                for (_, _, v), w in ((x, w) for x, w in steps.items() if x[:2] == (start[0], u)):
+                    if best[u] + w < best.get(v, math.inf):
+                        best[v] = best[u] + w
+                        todo.append(v)
+            out |= {(*start, v): d for v, d in best.items() if v != start[1]}
+        return out
+
+    some = {k: w for k, w in arcs.items() if k[1] >= 1000 or k[0] == "s"}
+    got = {(x.rec, x.src, x.dst): x.d for x in graph_extra.hops(df, KEY).collect()}
+    ring = {k: d for k, d in got.items() if k[0] == "r" and k[1] < 1000}
+    assert ring == {("r", i, j): (j - i) % 300 for i in range(300) for j in range(300) if i != j}
+    assert {k: d for k, d in got.items() if k not in ring} == plain({k: 1 for k in some})
+    got = {(x.rec, x.src, x.dst): round(x.d, 9) for x in network.shortest_paths(df, KEY).collect()}
+    assert all(got["r", i, j] == min((j - i) % 300, (i - j) % 300) for i in range(0, 300, 7) for j in range(300) if i != j)
+    assert {k: d for k, d in got.items() if k[0] == "s" or k[1] >= 1000} == plain({k: 1 / w for k, w in some.items()} | {(k[0], k[2], k[1]): 1 / w for k, w in some.items()})
