@@ -108,3 +108,41 @@ def test_distances_in_blocks_of_sources(spark, monkeypatch):
     got = {(x.rec, x.src, x.dst): round(x.d, 9) for x in network.shortest_paths(df, KEY).collect()}
     assert all(got["r", i, j] == min((j - i) % 300, (i - j) % 300) for i in range(0, 300, 7) for j in range(300) if i != j)
     assert {k: d for k, d in got.items() if k[0] == "s" or k[1] >= 1000} == plain({k: 1 / w for k, w in some.items()} | {(k[0], k[2], k[1]): 1 / w for k, w in some.items()})
+
+
+def test_shuffle_null_and_window_counts(spark):
+    from axonlake.functions.scalars import mixed
+    from axonlake.operators import stimulus
+
+    rng = random.Random(9)
+    trains = {ch: sorted(rng.randrange(400) / 2 for _ in range(40)) for ch in (0, 1)}
+    onsets = sorted(rng.sample(range(20, 180), 12))
+    spikes = spark.createDataFrame([("r", ch, t) for ch, x in trains.items() for t in x], "rec string, ch long, t double")
+    stim = spark.createDataFrame([("r", 1, i, float(t)) for i, t in enumerate(onsets)], "rec string, pattern int, trial int, ts double")
+    chans = spark.createDataFrame([("r", ch) for ch in (0, 1, 2)], "rec string, ch long")
+    recs = spark.createDataFrame([("r", 7, 200.0)], "rec string, rec_no long, duration_s double")
+    pre, post = (-10.0, 0.0), (1.0, 11.0)
+    inside = lambda x, ts, w: sum(w[0] <= t - ts < w[1] for t in x)
+    counts = {(x.trial, x.ch): (x.pre, x.post) for x in stimulus.pre_post_counts(spikes, stim, chans, pre, post).collect()}
+    assert counts == {(i, ch): tuple(inside(trains.get(ch, []), ts, w) for w in (pre, post)) for i, ts in enumerate(onsets) for ch in (0, 1, 2)}
+    got = {(x.trial, x.ch): (x.n, x.latency_ms) for x in stimulus.trial_counts(spikes, stim, chans, 8.0).collect()}
+    near = {(i, ch): [t - ts for t in trains.get(ch, []) if 0 < t - ts <= 8] for i, ts in enumerate(onsets) for ch in (0, 1, 2)}
+    assert got == {k: (len(v), min(v) * 1000 if v else None) for k, v in near.items()}
+    from pyspark.sql import functions as F
+
+    by = {(x.ch, x.id): x.by for x in chans.crossJoin(spark.range(1, 8)).select("ch", "id", F.pmod(mixed(F.lit(3), F.lit(7), F.col("ch"), F.col("id")), F.lit(200)).alias("by")).collect()}
+    want = {}
+    for (ch, rep), shift in by.items():
+        x = [t + shift - 200 if t + shift > 200 else t + shift for t in trains.get(ch, [])]
+        want[ch, rep] = sum(inside(x, ts, post) > inside(x, ts, pre) for ts in onsets) / len(onsets)
+    null = stimulus.shuffled_proportions(spikes, stim, chans, recs, pre, post, 7, 1.0, 3, block=3)
+    assert {(x.ch, x.rep): x.proportion for x in null.collect()} == want
+
+
+def test_trial_counts_pair_no_events(spark):
+    """20,000 trials whose windows hold all of 20,000 events: 4e8 pairs."""
+    from axonlake.operators import stimulus
+
+    x = spark.range(20_000).selectExpr("'r' rec", "1 pattern", "id trial", "id / 1e4 ts")
+    n = stimulus.trial_counts(x.selectExpr("rec", "0L ch", "ts + 5 t"), x, spark.createDataFrame([("r", 0)], "rec string, ch long"), 10.0)
+    assert [tuple(r) for r in n.groupBy("n").count().collect()] == [(20_000, 20_000)]
