@@ -10,10 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stimulus import around
+from .stimulus import offset_cells
 
 ROOT_2PI = math.sqrt(2 * math.pi)
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -119,11 +119,8 @@ def adaptive_response(spikes: DataFrame, stim: DataFrame, w0: float, w1: float,
     if points < 8 or not w0 < w1:
         raise ValueError("points must be at least 8 and w0 below w1")
     by, step = ["rec", "pattern", "ch"], (w1 - w0) / (points - 1)
-    apart = around(spikes, stim, w0, w1).groupBy(*by, "dt").agg(F.count(F.lit(1)).alias("n"))
-    sizes = apart.groupBy(*by).agg(F.count(F.lit(1)).alias("offsets"), F.sum("n").alias("events"))
-    few = F.col("offsets") <= points + 1
-    cells = apart.join(sizes, by).withColumn("x", F.when(few, F.col("dt")).otherwise(w0 + F.floor((F.col("dt") - w0) / step + 0.5) * step))
-    cells = cells.groupBy(*by, "x").agg(F.sum("n").alias("n"), F.first("events").alias("events"), F.first(few).alias("exact"))
+    exact, w = F.col("x").isNotNull(), Window.partitionBy(*by)
+    cells = offset_cells(spikes, stim, w0, w1, points, most=points + 1).select(*by, F.coalesce("x", w0 + F.col("i") * step).alias("x"), "n", F.sum("n").over(w).alias("events"), exact.alias("exact"))
     rows = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("cells"), F.first("events").alias("events"), F.first("exact").alias("exact"))
     trials = stim.groupBy("rec", "pattern").agg(F.count(F.lit(1)).alias("trials"))
     grid = np.linspace(w0, w1, points)

@@ -146,3 +146,25 @@ def test_trial_counts_pair_no_events(spark):
     x = spark.range(20_000).selectExpr("'r' rec", "1 pattern", "id trial", "id / 1e4 ts")
     n = stimulus.trial_counts(x.selectExpr("rec", "0L ch", "ts + 5 t"), x, spark.createDataFrame([("r", 0)], "rec string, ch long"), 10.0)
     assert [tuple(r) for r in n.groupBy("n").count().collect()] == [(20_000, 20_000)]
+
+
+def test_offset_cells_match_pairs(spark):
+    from axonlake.operators import stimulus
+
+    rng = random.Random(6)
+    trains = {ch: [rng.random() * 50 for _ in range(60)] for ch in (0, 1)}
+    onsets = {1: [rng.random() * 50 for _ in range(15)], 2: [10.0, 30.0]}
+    spikes = spark.createDataFrame([("r", ch, t) for ch, x in trains.items() for t in x], "rec string, ch long, t double")
+    stim = spark.createDataFrame([("r", p, i, t) for p, x in onsets.items() for i, t in enumerate(x)], "rec string, pattern int, trial int, ts double")
+    apart = {(p, ch): sorted(t - ts for t in trains[ch] for ts in x if -1.5 <= t - ts <= 4) for p, x in onsets.items() for ch in trains}
+    for skip, most in ((0.0, 0), (0.7, 0), (0.0, 20)):
+        want = {}
+        for (p, ch), x in apart.items():
+            for dt in x:
+                if not skip or dt > -1.5 + skip:
+                    k = (p, ch, None, dt) if len(x) <= most else (p, ch, int((dt + 1.5) / 0.5 + 0.5), None)
+                    want[k] = want.get(k, 0) + 1
+        got = stimulus.offset_cells(spikes, stim, -1.5, 4.0, 12, skip, most).collect()
+        assert {(x.pattern, x.ch, x.i, x.x): x.n for x in got} == want
+    dense = spark.range(20_000).selectExpr("'r' rec", "1 pattern", "id trial", "0L ch", "id / 1e4 ts", "id / 1e4 + 5 t")
+    assert sum(x.n for x in stimulus.offset_cells(dense, dense, 0.0, 10.0, 2).collect()) == 400_000_000
