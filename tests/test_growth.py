@@ -168,3 +168,19 @@ def test_offset_cells_match_pairs(spark):
         assert {(x.pattern, x.ch, x.i, x.x): x.n for x in got} == want
     dense = spark.range(20_000).selectExpr("'r' rec", "1 pattern", "id trial", "0L ch", "id / 1e4 ts", "id / 1e4 + 5 t")
     assert sum(x.n for x in stimulus.offset_cells(dense, dense, 0.0, 10.0, 2).collect()) == 400_000_000
+
+
+def test_common_neighbours_are_shuffled_as_lists(spark):
+    import re
+    from itertools import combinations
+
+    from axonlake.operators import network
+
+    rng = random.Random(1)
+    pairs = {p for p in combinations(range(30), 2) if rng.random() < 0.15}
+    near = {x: {v for p in pairs if x in p for v in p if v != x} for x in range(30)}
+    df = spark.createDataFrame([("r", *p, 1.0) for p in pairs], "rec string, src long, dst long, w double")
+    got = network._common(df, KEY)
+    want = {(x, y): (len(near[x]), len(near[y]), len(near[x] & near[y]), int((x, y) in pairs)) for x, y in combinations(range(30), 2) if near[x] & near[y] or (x, y) in pairs}
+    assert {(x.src, x.dst): (x.da, x.db, x.c, x.a) for x in got.collect()} == want
+    assert not re.search(r"hashpartitioning\(rec#\d+, src#\d+L?, dst#", network.matching_index(df, KEY)._jdf.queryExecution().executedPlan().toString())
