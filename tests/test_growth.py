@@ -184,3 +184,23 @@ def test_common_neighbours_are_shuffled_as_lists(spark):
     want = {(x, y): (len(near[x]), len(near[y]), len(near[x] & near[y]), int((x, y) in pairs)) for x, y in combinations(range(30), 2) if near[x] & near[y] or (x, y) in pairs}
     assert {(x.src, x.dst): (x.da, x.db, x.c, x.a) for x in got.collect()} == want
     assert not re.search(r"hashpartitioning\(rec#\d+, src#\d+L?, dst#", network.matching_index(df, KEY)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_agreement_shuffles_no_pairs(spark):
+    """Copies, nulls and repeated rows by plain loops; what is listed of pairs of nodes meets no join, shuffle or aggregate."""
+    from axonlake.operators import network
+
+    rng = random.Random(8)
+    rows = [(rng.choice("rs"), rng.randrange(3), rng.choice([*range(40), None]), rng.choice([0, 1, 2, None])) for _ in range(300)]
+    p = spark.createDataFrame(rows, "rec string, run int, node long, community int")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[:2] == b[:2] and a[3] == b[3] and None not in (a[2], a[3], b[2]) and a[2] < b[2]:
+                want[a[0], a[2], b[2]] = want.get((a[0], a[2], b[2]), 0) + 1
+    for chunk in (2, 4000):
+        got = network.agreement(p, KEY, chunk=chunk)
+        assert sorted((x.rec, x.src, x.dst, x.n) for x in got.collect()) == sorted((*k, n) for k, n in want.items())
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    last = max(i for i, x in enumerate(plan) if "Generate explode(__a" in x)
+    assert not any(word in x for x in plan[:last] for word in ("Join", "Aggregate", "Repartition"))
