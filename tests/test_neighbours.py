@@ -44,3 +44,27 @@ def test_few_rows_and_votes(spark):
     assert {(r.id, r["rank"], r.neighbour) for r in neighbours.nearest_neighbours(two, names, 5).collect()} == {(rows[0][0], 1, rows[1][0]), (rows[1][0], 1, rows[0][0])}
     p = neighbours.knn_predictions(df, "y", names, 3, chunk=20).collect()
     assert len(p) == len(rows) and np.mean([r.y != r.predicted for r in p]) < 0.02
+
+
+@pytest.mark.parametrize("k, by_fold, tile", [(3, True, 37), (2, False, 90)])
+def test_rows_are_sent_once_for_each_tile(spark, k, by_fold, tile):
+    """Small chunks in few tiles: neighbours by brute force, and no list of a chunk's rows is joined to another one."""
+    df, rows, names = table(spark)
+    got = neighbours.nearest_neighbours(df, names, k, fold_col="fold" if by_fold else None, pivots=6, chunk=9, tile=tile)
+    assert {(r.id, r["rank"], r.neighbour, round(r.distance, 9)) for r in got.collect()} == brute(rows, k, by_fold)
+    assert "members" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_meet_as_all_pairs_do():
+    r = np.random.RandomState(4)
+    x = np.concatenate([r.normal(1e3, 1, (40, 5)), np.full((300, 5), 1e3)])
+    ids, fold = r.permutation(1000)[: len(x)], r.randint(0, 2, len(x))
+    for folds in (True, False):
+        for within in (np.inf, 2.5):
+            i, names, square = neighbours._meet(ids, fold, x, np.full(len(x), within), ids, fold, x, 3, folds)
+            got = sorted(zip(i.tolist(), square.tolist(), names.tolist()))
+            want = []
+            for a in range(len(x)):
+                near = sorted((float(((x[b] - x[a]) ** 2).sum()), int(ids[b])) for b in range(len(x)) if (fold[b] != fold[a] if folds else a != b))
+                want += [(a, *v) for v in near if v[0] <= within][:3]
+            assert [v for v in got if v[1] <= within] == want
