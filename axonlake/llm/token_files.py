@@ -17,14 +17,14 @@ import gc
 import struct
 import uuid
 import zlib
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST_KEPT, LOOSE_SPACE, PLAIN_MARKS, Encoder, Vocabulary, _broadcast, _byte_chars, default_tokenizer
+from .bpe import LONGEST_KEPT, PLAIN_MARKS, Encoder, Vocabulary, _broadcast, _byte_chars, default_tokenizer, text_blocks
 from .common import read_table, shared_dir
 
 BLOCK = 512
@@ -171,21 +171,28 @@ def open_shard(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [int(d) if v else None for d, v in zip(names, valid)], ends.astype(np.int64), WaveletMatrix(n, planes)
 
 
+#: Where a single space or line feed need not begin a piece of its own: after other white space.
+LOOSE, LOOSE_LINE = r"[\t-\r\x1c-\x20\x{85}\p{Z}] | \n", r"[\t-\r\x1c-\x1f\x{85}\p{Z}]\n"
+
+
 class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library's model; remembered as in Encoder. Words that are new in a stretch of texts go to the model in one
-    call, parted by two bytes that take part in no merge, so that nothing can merge across them."""
+    """Ids by the tokenizers library's model; remembered as in Encoder.
+
+    encode_column() takes a column apart in Arrow: a piece begins before every single space, and before and after every single line feed,
+    so texts are words between such marks, and the ids of a stretch of texts are gathered from those of its distinct words. Pieces that are
+    new in a stretch go to the model many at a time, parted by a byte that takes part in no merge, so that nothing can merge across it.
+    """
 
-    CHUNK, CALL = 300_000, 128  # characters of text looked through at a time; words in a call
+    STRETCH, CALL = 1 << 23, 128  # bytes of text taken apart at a time; pieces in a call
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, cache: int = 800_000):
         from tokenizers import Tokenizer
 
-        super().__init__(Vocabulary(source), cache=800_000)
+        super().__init__(Vocabulary(source), cache=cache)
         self.model = Tokenizer.from_str(source).model
         self.chars = np.array([ord(c) for c, _ in sorted(_byte_chars().items(), key=lambda x: x[1])], "<u2")
         merged = {x for pair in self.v.rank for i in pair for x in self.v.bytes[i]}
-        free = [chr(x) for x in range(0x20) if x not in merged]
-        self.between_words, self.between_pieces = free[:2] if len(free) > 1 else (None, None)
+        self.between = next((chr(x) for x in range(0x20) if x not in merged), None)
 
     def _model_ids(self, text: str) -> np.ndarray:
         mapped = self.chars[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].tobytes().decode("utf-16-le")
@@ -194,54 +201,110 @@ class LibraryEncoder(Encoder):
     def _piece(self, piece: str) -> bytes:
         return self._model_ids(piece).tobytes()
 
-    def _learn(self, seen: set[str]) -> None:
-        """Have the ids of all words of seen in self.words. A word with a mark after it takes the ids of the word and those of the mark."""
-        words, one, two = self.words, self.between_words, self.between_pieces
-        new = set(filterfalse(words.__contains__, seen))
-        if len(words) + len(new) > words.limit:
-            words.old = dict(words)
-            words.clear()
-            new = seen
-        if carried := list(filter(words.old.__contains__, new)):
-            words.update(zip(carried, map(words.old.__getitem__, carried)))
-            new = new.difference(carried)
-        if max(map(len, new), default=0) > LONGEST_KEPT or any(c in x for x in (" ".join(new),) for c in (one, two)):
-            new = {w for w in new if one not in w and two not in w and len(w) <= LONGEST_KEPT}
-        marked = [w for w in new if w[-1:] in PLAIN_MARKS and w[:-1].isalpha()]
-        new = list({*new, *filterfalse(words.__contains__, [w[:-1] for w in marked])}.difference(marked))
-        for at in range(0, len(new), self.CALL):
-            part = new[at : at + self.CALL]
-            ids = self._model_ids(one.join(" " + w if w.isalpha() else two.join(self.find(" " + w)) for w in part))
-            ids = ids[ids != self.v.byte_id[ord(two)]]
-            cuts = np.flatnonzero(ids == self.v.byte_id[ord(one)])
-            data, begins = ids.tobytes(), [0, *(4 * cuts + 4).tolist()]
-            words.update(zip(part, map(data.__getitem__, map(slice, begins, [*(4 * cuts).tolist(), len(data)]))))
-        mark = {m: self.pieces[m] for m in PLAIN_MARKS}
-        words.update((w, words[w[:-1]] + mark[w[-1]]) for w in marked)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as encode() gives them."""
-        if self.between_words is None:
-            return [self.encode(t) for t in texts]
-        out, at = [], 0
+    def _many(self, words: list[str], before: str = "") -> list[bytes]:
+        """Ids of each word with `before` in front, each of which is one piece, by the model."""
+        one, out = self.between, []
+        if one is None or max(map(len, words), default=0) > LONGEST_KEPT or any(one in w for w in (" ".join(words),)):
+            few = {w for w in words if one is not None and one not in w and len(w) <= LONGEST_KEPT}
+            known = dict(zip(few, self._many(list(few), before)))
+            return [known[w] if w in few else self._piece(before + w) for w in words]
+        for at in range(0, len(words), self.CALL):
+            ids = self._model_ids(before + (one + before).join(words[at : at + self.CALL]))
+            cuts = 4 * np.flatnonzero(ids == self.v.byte_id[ord(one)])
+            data = ids.tobytes()
+            out += map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words that self.words does not hold. A space stands before a word, unless it begins with one, which then stands for itself:
+        a line feed and what follows it. A word with a mark after it takes the ids of the word and those of the mark."""
+        words, pieces, out = self.words, self.pieces, {}
+        if words.old:
+            out = {w: ids for w, ids in zip(new, map(words.old.get, new)) if ids is not None}
+            new = [w for w in new if w not in out]
+        plain = [w for w in new if w.isalpha()]
+        rest = [w for w in new if not w.isalpha()]
+        marked = [w for w in rest if w[-1:] in PLAIN_MARKS and w[:-1].isalpha()]
+        split = {w: self.find(w[1:] if w[:1] == " " else " " + w) for w in rest if not (w[-1:] in PLAIN_MARKS and w[:-1].isalpha())}
+        need = {w[:-1] for w in marked}.union(p[1:] for ps in split.values() for p in ps if p[0] == " ")
+        have = {w: ids for w in need if (ids := words.get(w)) is not None or (ids := words.old.get(w)) is not None}
+        plain = list(need.difference(have).union(plain))
+        have.update(zip(plain, self._many(plain, " ")))
+        own = {p for ps in split.values() for p in ps if p[0] != " "}
+        bare = {p: ids for p in own if (ids := pieces.get(p)) is not None or (ids := pieces.old.get(p)) is not None}
+        fresh = list(own.difference(bare))
+        bare.update(zip(fresh, self._many(fresh)))
+        self._keep(pieces, bare)
+        mark = {m: pieces[m] for m in PLAIN_MARKS}
+        have.update([(w, have[w[:-1]] + mark[w[-1]]) for w in marked])
+        have.update([(w, b"".join([have[p[1:]] if p[0] == " " else bare[p] for p in ps])) for w, ps in split.items()])
+        have |= out
+        self._keep(words, have)
+        return have
+
+    @staticmethod
+    def _keep(cache, items: dict[str, bytes]) -> None:
+        if len(cache) + len(items) > cache.limit:
+            cache.old = dict(cache)
+            cache.clear()
+        cache.update(items if max(map(len, items), default=0) <= LONGEST_KEPT else {k: v for k, v in items.items() if len(k) <= LONGEST_KEPT})
+
+    def _stretch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.or_(pc.match_substring_regex(texts, LOOSE), pc.greater(pc.binary_length(texts), self.STRETCH))
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        kept = pc.if_else(odd, "", texts)
+        kept = pc.if_else(pc.match_substring_regex(kept, LOOSE_LINE), kept, pc.replace_substring(kept, "\n", " \n"))
+        lists = pc.split_pattern(kept, " ")
+        coded = lists.flatten().dictionary_encode()
+        begins = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()  # a text without words is one empty word
+        code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        ids = [self._run(w) for w in words.take(coded.indices.take(pa.array(begins))).to_pylist()]  # no space before these
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            ids[i] = b"".join([*map(self.feed, text_blocks(texts[i])), self.finish()])
+        code[begins] = len(words)
+        used = np.zeros(len(words) + 1, bool)
+        used[code] = True
+        code = (np.cumsum(used) + len(ids) - 1)[code]
+        code[begins] = np.arange(len(ids))
+        words = words.filter(pa.array(used[:-1]))
+        lines = np.flatnonzero(pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)).tolist()
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        for i in lines:
+            words[i] = " " + words[i]
+        got = list(map(self.words.get, words))
+        if new := [w for w, x in zip(words, got) if x is None]:
+            learned = self._learn(new)
+            got = [learned[w] if x is None else x for w, x in zip(words, got)]
+        ids += got
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), sizes[code]
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return flat[at], np.add.reduceat(n, begins)
+
+    def encode_column(self, texts: pa.Array):
+        """(ids, number of ids of each text) of stretches of a column of texts; null is empty."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
         gc.disable()  # the library's token objects by the million would set off collections that find nothing
         try:
             while at < len(texts):
-                parts, end, size = [], at, 0
-                while end < len(texts) and size < self.CHUNK:
-                    parts.append(texts[end].split(" "))
-                    size += len(texts[end])
-                    end += 1
-                self._learn(set().union(*parts))
-                for t, (first, *rest) in zip(texts[at:end], parts):
-                    if LOOSE_SPACE(t) is not None or any(s in t for s in self.special):
-                        out.append(self.encode(t))
-                    else:
-                        out.append(self._run(first) + b"".join(map(self.words.__getitem__, rest)))
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.STRETCH, "right")))
+                yield self._stretch(texts[at:end])
                 at = end
         finally:
             gc.enable()
-        return out
+
+    def documents(self, names: pa.Array, texts: pa.Array, end_id: int):
+        """(name, ids and the end id) of every row."""
+        small, at = np.uint16 if max(len(self.v.bytes) - 1, end_id) < 1 << 16 else np.uint32, 0
+        for flat, sizes in self.encode_column(texts):
+            ends = np.cumsum(sizes)
+            flat, ends = np.insert(flat.astype(small), ends, end_id), ends + np.arange(1, len(ends) + 1)
+            yield from zip(names[at : at + len(ends)].to_pylist(), np.split(flat, ends[:-1]), strict=True)
+            at += len(ends)
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -272,18 +335,16 @@ def write_token_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         part, seq = TaskContext.get().partitionId(), 0
         enc = _library(source.value)
         bits = max(len(enc.v.bytes) - 1, end_id).bit_length()
-        small = np.uint16 if bits <= 16 else np.uint32
-        end = np.array([end_id], "<u4").tobytes()
         held, ids, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([size], pa.int64()), pa.array([pack_shard(held, ids, bits)], pa.binary())], ["part", "seq", "n_ids", "payload"])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), enc.encode_many([t or "" for t in b.column(1).to_pylist()])):
+            for d, x in enc.documents(b.column(0), b.column(1), end_id):
                 held.append(d)
-                ids.append(np.frombuffer(t + end, "<u4").astype(small))
-                size += len(ids[-1])
+                ids.append(x)
+                size += len(x)
                 if size >= shard_ids:
                     yield flush()
                     held, ids, size, seq = [], [], 0, seq + 1

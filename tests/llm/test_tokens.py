@@ -1,7 +1,9 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,6 +78,38 @@ def test_memory_is_flat_on_long_texts(unit):
     assert peaks[1] < 1.2 * peaks[0] + 50_000
 
 
+def column_ids(enc, texts):
+    out = []
+    for flat, sizes in enc.encode_column(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("stretch, cache", [(30, 40), (1 << 20, 800_000)])
+def test_columns_of_texts_match_the_library(stretch, cache):
+    """Line feeds, special tokens, long words and texts beyond a stretch; small caches and stretches, so that generations change."""
+    rng, enc = random.Random(stretch), token_files.LibraryEncoder(bpe.tokenizer_source(PATH), cache)
+    enc.STRETCH = stretch
+    parts = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "\x00", "\x01", "a", "the", "Ing", "'s", "12", ".", ",", "!!", "é", "中", "<|endoftext|>", "😀", "x" * 70]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(1500)] + [None, "", "\n", "\n\nfoo bar\n", "b" * 3000, "of the\n" * 20]
+    assert column_ids(enc, texts) == [e.ids for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert column_ids(enc, []) == []
+    rows = list(enc.documents(pa.array(range(len(texts))), pa.array(texts), 2))  # every row keeps its name, whatever the stretches
+    assert [n for n, _ in rows] == list(range(len(texts)))
+    assert [x.tolist() for _, x in rows] == [e.ids + [2] for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_known_words_beside_line_feeds_are_not_encoded_anew(monkeypatch):
+    """Every pair of 30 words with a mark and a line feed between them: 900 stretches without a space, no word of which is new."""
+    enc, words = token_files.LibraryEncoder(bpe.tokenizer_source(PATH)), [a + b for a in "thnd rele oust wher inga".split() for b in "abcdef"]
+    column_ids(enc, ["x " + " ".join(words) + "".join(f"\n{w}" for w in words)])
+    calls, model_ids = [], enc._model_ids
+    monkeypatch.setattr(enc, "_model_ids", lambda text: calls.append(text) or model_ids(text))
+    texts = [f"x {a}.\n{b}" for a in words for b in words]
+    assert column_ids(enc, texts) == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert set(calls) <= {*token_files.PLAIN_MARKS, "x"}
+
+
 def test_lookahead_is_a_constant_of_the_merge_list():
     assert VOCAB.lookahead == 3229
     assert bpe.sufficient_lookahead([]) == 0
