@@ -215,3 +215,12 @@ def test_peaks_as_by_plain_walks(spark):
                     assert runs.before(i, level, same) == max(np.flatnonzero(over[:i]), default=0)
                     assert runs.after(i, level, same) == min(np.flatnonzero(over[i + 1 :]) + i + 1, default=299)
             assert runs.most(i // 2, i + 1) == v[i // 2 : i + 1].max()
+
+
+def test_ranks_are_those_of_a_sorted_search():
+    from axonlake.operators.stimulus import Ranks
+
+    r = np.random.RandomState(4)
+    for at in (np.sort(r.rand(500) * 100), np.sort(np.round(r.rand(500) * 100)), np.sort(np.r_[r.rand(300), 1e6 + r.rand(5)]), np.array([3.0]), np.array([]), np.array([2.0, 2.0])):
+        y = np.sort(np.r_[r.rand(400) * 120 - 10, at, np.nextafter(at, -9e9), np.nextafter(at, 9e9), 1e9])
+        assert (Ranks(at).below(y) == np.searchsorted(at, y)).all()
